@@ -10,8 +10,11 @@ position leaves as soon as its name is unique or its rank past the threshold is
    prefix is an instance: about one for every 35 positions. Spark sorts (name, position) pairs of the instances
    in buckets of the name. Unique names leave with all their windows. If all instances of a name are equal to
    their last byte, all but the first are repeats and the name is done.
-2. Prefixes of 100 bytes, the threshold, at every position of the instances left (those at the borders of
-   repeats). Again (name, position) pairs are sorted in buckets of the name; all but the first are repeats.
+2. Prefixes of 64 bytes. Every window of an instance holds one of the 64-byte strings that start 0, 36, 72 ...
+   bytes before the standing prefix, so an instance is cut into parts by the string its windows hold, and the
+   parts are ranked by its name in the same way. Chance repeats of a few words and half of each border leave.
+3. Prefixes of 100 bytes, the threshold, at every position of the parts left. Again (name, position) pairs are
+   sorted in buckets of the name; all but the first are repeats.
 
 Names are pairs of 64-bit values, 128 bits in all, so unequal strings practically never share one.
 
@@ -50,16 +53,21 @@ STRIDE = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 FRESH, OPEN, REPEAT = 0, 1, 2
 
-# A span packed in one number: start in the document, number of windows (14 bits), row check (18 bits).
-WINDOWS, CHECK = 14, 18
+# A span packed in one number: start in the document, distance to the standing prefix and number of windows
+# (8 bits each), row check (16 bits).
+WINDOWS, CHECK = 8, 16
 
 
-def _pack(start: np.ndarray, windows: np.ndarray, check: np.ndarray) -> np.ndarray:
-    return (start.astype(np.int64) << (WINDOWS + CHECK)) | (windows.astype(np.int64) << CHECK) | check
+def _pack(start: np.ndarray, distance: np.ndarray, windows: np.ndarray, check: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << (2 * WINDOWS + CHECK)) | (distance.astype(np.int64) << (WINDOWS + CHECK)) | (windows.astype(np.int64) << CHECK) | check
 
 
 def _start(at: np.ndarray) -> np.ndarray:
-    return at >> (WINDOWS + CHECK)
+    return at >> (2 * WINDOWS + CHECK)
+
+
+def _distance(at: np.ndarray) -> np.ndarray:
+    return (at >> (WINDOWS + CHECK)) & ((1 << WINDOWS) - 1)
 
 
 def _windows(at: np.ndarray) -> np.ndarray:
@@ -72,9 +80,9 @@ def _checks(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.fromiter((zlib.crc32(raw[a:b]) & ((1 << CHECK) - 1) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.int64, len(off) - 1)
 
 
-def instances(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def instances(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one standing prefix: the prefix's name, the name of all the run's bytes, its first
-    window, its number of windows. The places are in data."""
+    window, the distance from there to the prefix, its number of windows. The places are in data."""
     firsts = np.maximum(off[:-1], 0)
     lasts = off[1:] - length + 1  # windows start in [firsts, lasts)
     has = lasts > firsts
@@ -113,9 +121,9 @@ def instances(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarra
         if not len(s):
             continue
         whole = K.mix(K.Prefixes(seg, 1).name(s, e + length - 1) + ((place[s] - s) << 8 | (e - s)).astype(np.uint64))
-        parts.append((name[place[s]], whole, s + base, e - s))
+        parts.append((name[place[s]], whole, s + base, place[s] - s, e - s))
     if not parts:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -253,39 +261,64 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc, at): packed runs of windows that start earlier elsewhere."""
     buckets = 16 * S.partitions(docs.sparkSession)
 
+    step = length - 2 * GRAM
+
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = S.byte_column(b, "text")
-            name, whole, start, count = instances(data, off, length)
+            name, whole, start, distance, count = instances(data, off, length)
             row = np.searchsorted(off, start, "right") - 1
             doc = b.column("doc_id").to_numpy()[row]
-            yield from _first_round(name, whole, doc, _pack(start - off[row], count, _checks(data, off)[row]), buckets)
+            yield from _first_round(name, whole, doc, _pack(start - off[row], distance, count, _checks(data, off)[row]), buckets)
+
+    def opened(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """For stretches of the batch: bytes, where each row starts in them, and the open spans with their rows."""
+        data, off = S.byte_column(b, "text")
+        at, row = _listed(b, "ats")
+        ours = (at & ((1 << CHECK) - 1)) == _checks(data, off)[row]
+        at, row = at[ours], row[ours]
+        for i, j in S.chunks(off, 1 << 21):
+            lo, hi = np.searchsorted(row, [i, j])
+            if lo < hi:
+                yield data[off[i] : off[j]], off - off[i], at[lo:hi], row[lo:hi]
 
     def reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of open instances, by the name of 2 * GRAM bytes that all their windows hold."""
         for b in batches:
-            data, off = S.byte_column(b, "text")
-            at, row = _listed(b, "ats")
-            checks = _checks(data, off)
-            ours = (at & ((1 << CHECK) - 1)) == checks[row]
-            at, row = at[ours], row[ours]
-            order = np.argsort(row, kind="stable")
-            at, row = at[order], row[order]
             ids = b.column("doc_id").to_numpy()
-            collected = []
-            for i, j in S.chunks(off, 1 << 21):
-                lo, hi = np.searchsorted(row, [i, j])
-                if lo == hi:
-                    continue
-                seg = data[off[i] : off[j]]
-                n = _windows(at[lo:hi])
-                first = np.repeat(_start(at[lo:hi]) - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
-                owner = np.repeat(row[lo:hi], n)
-                p = first + (off[owner] - off[i])
+            found = []
+            for seg, off, at, row in opened(b):
+                start, distance, n = _start(at), _distance(at), _windows(at)
+                low, high = (distance - n + 1) // step, distance // step  # which strings the windows hold
+                parts = high - low + 1
+                own = np.repeat(np.arange(len(at)), parts)
+                j = high[own] - (np.arange(len(own)) - np.repeat(np.concatenate([[0], np.cumsum(parts)[:-1]]), parts))
+                first = np.maximum(0, distance[own] - (j + 1) * step + 1)
+                last = np.minimum(n[own] - 1, distance[own] - j * step)
+                begin, base = start[own] + first, off[row[own]]
+                held = base + start[own] + distance[own] - j * step
+                name = K.mix(K.Prefixes(seg, 0).name(held, held + 2 * GRAM))
+                shape = (held - base - begin) << 8 | (last - first)
+                whole = K.mix(K.Prefixes(seg, 1).name(base + begin, base + begin + last - first + length) + shape.astype(np.uint64))
+                found.append((name, whole, ids[row[own]], _pack(begin, np.zeros_like(begin), last - first + 1, at[own] & ((1 << CHECK) - 1))))
+            if found:
+                yield from _first_round(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)
+
+    def every_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows of open parts, by their names of full length."""
+        for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            found = []
+            for seg, off, at, row in opened(b):
+                n = _windows(at)
+                first = np.repeat(_start(at) - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
+                owner = np.repeat(row, n)
+                p = first + off[owner]
                 k1, k2 = (K.mix(K.Prefixes(seg, w).name(p, p + length)) for w in (0, 1))
-                collected.append((k1, k2, ids[owner], _pack(first, np.ones(len(first), np.int64), checks[owner])))
-            if not collected:
+                found.append((k1, k2, ids[owner], _pack(first, np.zeros_like(first), np.ones_like(first), np.repeat(at & ((1 << CHECK) - 1), n))))
+            if not found:
                 continue
-            k1, k2, doc, at = (np.concatenate(x) for x in zip(*collected, strict=True))
+            k1, k2, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((_start(at), doc, k2, k1))
             k1, k2, doc, at = k1[order], k2[order], doc[order], at[order]
             repeat = _same(k1, k2)
@@ -296,21 +329,27 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def sort_in_buckets(df: DataFrame, settle) -> DataFrame:  # noqa: ANN001
         dealt = S.pool_partitions(df, "bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(lambda batches: _in_buckets(batches, settle), "kind byte, doc long, at long")
+        return S.stage_table(dealt.mapInArrow(lambda batches: _in_buckets(batches, settle), "kind byte, doc long, at long"), "ranks")
+
+    def with_open(spans: DataFrame) -> DataFrame:
+        listed = spans.where(F.col("kind") == OPEN).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+        return docs.join(listed, docs["doc_id"] == listed["doc"]).select("doc_id", "text", "ats")
 
     packed = "bucket int, kind byte, blob binary"
-    first = S.stage_table(sort_in_buckets(docs.mapInArrow(ranked, packed), _settle_first), "ranks")
-    open_ = first.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list("at").alias("ats"))
-    again = docs.join(open_, docs["doc_id"] == open_["doc"]).select("doc_id", "text", "ats")
-    last = S.stage_table(sort_in_buckets(again.mapInArrow(reranked, packed), _settle_last), "ranks")
-    return first.where(F.col("kind") == REPEAT).select("doc", "at").unionByName(last.select("doc", "at"))
+    spans = sort_in_buckets(docs.mapInArrow(ranked, packed), _settle_first)
+    done = spans.where(F.col("kind") == REPEAT)
+    if step > 0:
+        spans = sort_in_buckets(with_open(spans).mapInArrow(reranked, packed), _settle_first)
+        done = done.unionByName(spans.where(F.col("kind") == REPEAT))
+    last = sort_in_buckets(with_open(spans).mapInArrow(every_position, packed), _settle_last)
+    return done.unionByName(last).select("doc", "at")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, spans (start and
     end of each run, in bytes) and, if asked for, kept (the bytes that stay)."""
-    if length < GRAM + 1 or length > 8192:
-        raise ValueError("length must be 33 to 8192")
+    if not GRAM < length < GRAM + (1 << WINDOWS):
+        raise ValueError("length must be 33 to 287")
     source = S.documents(docs, doc_id, text)
     source = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID)))
     spans = repeated_spans(source, length).groupBy("doc").agg(F.collect_list("at").alias("ats"))
