@@ -99,8 +99,9 @@ def chunks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def pool_partitions(df: DataFrame, column: str) -> DataFrame:
-    """Deal rows by a column that already holds evenly spread bucket numbers."""
-    return df.repartition(partitions(df.sparkSession), column)
+    """Deal rows by a column of evenly filled buckets, numbered from 0, with as many in each partition."""
+    n = partitions(df.sparkSession)
+    return df.repartitionById(n, F.pmod(F.col(column), F.lit(n)).cast("int"))
 
 
 def range_bounds(keys: DataFrame, columns: list[str], parts: int, sample_per_part: int = 64, seed: int = 7) -> list[tuple]:

@@ -22,8 +22,8 @@ Hot names: equal instances of a batch become one row before the shuffle, and an
 unequal instances in its batch needs no count from elsewhere, so it skips the bucket, leaving a marker. A bucket
 thus gets at most one row of a name from each batch (some ten thousand documents), however often it occurs.
 
-Memory: positions are handled a megabyte at a time, whatever a document's length; a bucket holds about a
-hundred-thousandth of the corpus's positions at the default number of shuffle partitions.
+Memory: positions are handled a megabyte at a time, whatever a document's length; a bucket holds half
+a shuffle partition's share of the instances at most.
 
 Rows: a null or empty text has no bytes and no spans; a null id counts as the smallest. Rows that share an id
 share its positions: a string does not start earlier in one than at the same start in the other. An empty table
@@ -262,7 +262,7 @@ def _listed(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc, at): packed runs of windows that start earlier elsewhere."""
-    buckets = 16 * S.partitions(docs.sparkSession)
+    buckets = max(256, 2 * S.partitions(docs.sparkSession))
 
     step = length - 2 * GRAM
 
