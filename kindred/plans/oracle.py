@@ -148,7 +148,7 @@ array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(toks,
     "q46_oracle_f05": _pairs(f", {_per_s1('(SELECT s1, pool FROM p WHERE label = 1 AND prob >= 0.2)')} SELECT {REPORT} FROM sc"),
     "q47_id_lists": _pairs(f", {RATIO('prob', 'r')} SELECT s.s1, coalesce(string_agg(pool::VARCHAR, ',' ORDER BY pool), '') AS ids FROM s LEFT JOIN r ON r.s1 = s.s1 GROUP BY s.s1"),
     "q48_validator": _pairs(", l AS (SELECT DISTINCT s1 FROM p), i AS (SELECT s1, pool FROM p WHERE prob > 0.5), x AS (SELECT 'self_match' AS rule, s1 || ':' || pool AS what FROM i WHERE s1 = pool UNION ALL SELECT 'unknown_id', s1 || ':' || pool FROM i WHERE pool NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45) UNION ALL SELECT 'missing_s1', s1::VARCHAR FROM s WHERE s1 NOT IN (SELECT s1 FROM l) UNION ALL SELECT 'extra_s1', s1::VARCHAR FROM l WHERE s1 NOT IN (SELECT s1 FROM s)) SELECT rule, count(*) AS n, min(what) AS example FROM x GROUP BY rule"),
-    "q49_expansion": f"WITH {KEYS}, {_key_pairs(50, 'family = 0')}, k AS (SELECT id, is_s1, 'name' AS kind, country || '|' || array_to_string(list_sort(toks), ' ') AS key FROM part_rec UNION SELECT id, is_s1, 'addr', country || '|' || substr(name, 1, 8) FROM part_rec), g AS (SELECT kind, key FROM k WHERE NOT is_s1 GROUP BY ALL HAVING count(*) <= 20), f AS (SELECT a.id AS s1, b.id AS pool, max(CASE WHEN a.kind = 'addr' THEN 1 ELSE 0 END)::INTEGER AS by_addr FROM k a JOIN g USING (kind, key) JOIN k b ON b.kind = a.kind AND b.key = a.key AND a.is_s1 AND NOT b.is_s1 GROUP BY 1, 2), h AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.s1 = f.s1 AND kp.pool = f.pool)) SELECT * FROM (SELECT s1, pool, by_addr, row_number() OVER (PARTITION BY s1 ORDER BY by_addr DESC, pool)::INTEGER AS rank FROM h) t WHERE rank <= 5",
+    "q49_expansion": f"WITH {KEYS}, {_key_pairs(50, 'family = 0')}, k AS (SELECT id, is_s1, 'name' AS kind, country || '|' || array_to_string(list_sort(toks), ' ') AS key FROM part_rec UNION SELECT id, is_s1, 'addr', country || '|' || substr(name, 1, 4) FROM part_rec), g AS (SELECT kind, key FROM k WHERE NOT is_s1 GROUP BY ALL HAVING count(*) <= 20), f AS (SELECT a.id AS s1, b.id AS pool, max(CASE WHEN a.kind = 'addr' THEN 1 ELSE 0 END)::INTEGER AS by_addr FROM k a JOIN g USING (kind, key) JOIN k b ON b.kind = a.kind AND b.key = a.key AND a.is_s1 AND NOT b.is_s1 GROUP BY 1, 2), h AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.s1 = f.s1 AND kp.pool = f.pool)) SELECT * FROM (SELECT s1, pool, by_addr, row_number() OVER (PARTITION BY s1 ORDER BY by_addr DESC, pool)::INTEGER AS rank FROM h) t WHERE rank <= 5",
     "q50_cooccurrence": f"WITH {ENT}, w AS (SELECT list_distinct({PLAIN.format('name')}) AS a, list_distinct({PLAIN.format('addr')}) AS b FROM ent), u AS (SELECT unnest(a) AS x, b FROM w), f AS (SELECT x, count(*) AS fx FROM u GROUP BY x), c AS (SELECT x, y, count(*) AS n FROM (SELECT x, unnest(b) AS y FROM u) t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY n DESC, y) AS rn FROM c) SELECT r.x, y, n FROM r JOIN f USING (x) WHERE rn = 1 AND n >= 5 AND n >= 0.5 * fx",
     "q51_field_quality": f"WITH {ENT} SELECT source, country, round(avg(regexp_matches(name, '[0-9]')::INT), 6) AS digits, round(avg(regexp_matches(name, '[|#%&!]')::INT), 6) AS mark, round(avg(regexp_matches(name, '^[A-Z ]+$')::INT), 6) AS upper, round(median(len(string_split(name, ' '))), 6) AS words FROM ent GROUP BY ALL",
     "q52_contested": _pairs(f"SELECT s1, pool FROM p WHERE {BLEND} BETWEEN 0.3 AND 0.8"),

@@ -147,7 +147,7 @@ def q15_key_pairs(s, d):  # noqa: ANN001, ANN201
 def q16_digit_deletion_pairs(s, d):  # noqa: ANN001, ANN201
     """Customers and suppliers of a nation whose numbers are equal but for one digit."""
     num = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("bigint").cast("string")
-    side = lambda t, i, n, c, own: table(s, d, t).select(F.col(i).alias("id"), F.lit(own).alias("is_s1"), F.col(c).cast("string").alias("part"), F.lit(0).alias("family"), F.explode(tx.digit_deletions(num(F.col(n)))).cast("string").alias("key"))
+    side = lambda t, i, n, c, own: table(s, d, t).select(F.col(i).alias("id"), F.lit(own).alias("is_s1"), F.col(c).cast("string").alias("part"), F.lit(0).alias("family"), F.explode(F.transform(tx.digit_deletions(num(F.col(n))), lambda x: x.cast("string"))).alias("key"))
     both = side("customer", "c_custkey", "c_name", "c_nationkey", True).unionByName(side("supplier", "s_suppkey", "s_name", "s_nationkey", False))
     return bl.key_pairs(both, 20).select("s1", "pool")
 
@@ -370,7 +370,7 @@ def q48_validator(s, d):  # noqa: ANN001, ANN201
 @query
 def q49_expansion(s, d):  # noqa: ANN001, ANN201
     r = part_records(s, d)
-    keys = r.select("id", "is_s1", F.lit("name").alias("kind"), "name", F.concat_ws("|", "country", F.array_join(F.array_sort("toks"), " ")).alias("key")).drop("name").unionByName(r.select("id", "is_s1", F.lit("addr").alias("kind"), F.concat_ws("|", "country", F.substring("name", 1, 8)).alias("key")))
+    keys = r.select("id", "is_s1", F.lit("name").alias("kind"), "name", F.concat_ws("|", "country", F.array_join(F.array_sort("toks"), " ")).alias("key")).drop("name").unionByName(r.select("id", "is_s1", F.lit("addr").alias("kind"), F.concat_ws("|", "country", F.substring("name", 1, 4)).alias("key")))
     seeds = r.where("is_s1").select(F.col("id").alias("s1"), F.col("id").alias("seed"))
     none = bl.key_pairs(_keys(s, d).where("family = 0"), 50)
     return bl.expand(seeds, keys, none, 20, 5).select("s1", "pool", "by_addr", "rank")
