@@ -172,25 +172,33 @@ class LineFilter:
         """struct(n_lines, n_dropped, kept); needs the arrays to be shipped."""
         sent, shards, least = self.sent, self.shards, self.min_docs
 
-        @F.pandas_udf("n_lines long, n_dropped long, kept string")
-        def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf("n_lines long, n_dropped long, kept string")
+        def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             arrays = {k: Arrays.load(v) for k, v in sent.value.items()}
-            for s in texts:
-                rows = []
-                for x in s:
-                    lines = (x.encode() if x else b"").split(b"\n")
-                    h = line_hashes(lines)
-                    go = (h != 0).any(1)
-                    which = _shard(h[:, 0], shards)
-                    for k in np.unique(which):
-                        here = which == k
-                        if k in arrays:
-                            go[here] &= arrays[k].count(_key(h[here, 0], h[here, 1]), h[here, 1]) >= least
-                        else:
-                            go[here] = False
-                    gone = int(go.sum())
-                    rows.append((len(lines), gone, b"\n".join([y for y, g in zip(lines, go.tolist(), strict=True) if not g]).decode() if gone else x or ""))
-                yield pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
+            for col in texts:
+                data, off = S.byte_column(pa.record_batch([col], names=["text"]), "text")
+                n_lines, n_dropped, kept = [], [], []
+                for i, j in S.chunks(off, 1 << 20):
+                    texts_ = []
+                    for a, e in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist(), strict=True):
+                        raw = data[a:e].tobytes()
+                        lines = raw.split(b"\n")
+                        h = line_hashes(lines)
+                        go = (h != 0).any(1)
+                        which = _shard(h[:, 0], shards)
+                        for k in np.unique(which):
+                            here = which == k
+                            if k in arrays:
+                                go[here] &= arrays[k].count(_key(h[here, 0], h[here, 1]), h[here, 1]) >= least
+                            else:
+                                go[here] = False
+                        gone = int(go.sum())
+                        n_lines.append(len(lines))
+                        n_dropped.append(gone)
+                        texts_.append(b"\n".join([y for y, g in zip(lines, go.tolist(), strict=True) if not g]) if gone else raw)
+                    kept.append(pa.array(texts_, pa.binary()).cast(pa.string()))
+                whole = pa.concat_arrays(kept) if kept else pa.array([], pa.string())
+                yield pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), whole], names=["n_lines", "n_dropped", "kept"])
 
         return run(text)
 

@@ -164,15 +164,15 @@ def score(text: Column, model: Model) -> Column:
     """The score of a text column, 0 to 1."""
     raw = model.dump()
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model.load(raw)
-        for s in texts:
-            data, off = S.byte_column(pa.record_batch([pa.array(s, pa.string(), from_pandas=True)], names=["text"]), "text")
+        for col in texts:
+            data, off = S.byte_column(pa.record_batch([col], names=["text"]), "text")
             out = []
             for i, j in S.chunks(off, 1 << 19):
                 out.append(m.scores(*passages(data[off[i] : off[j]], off[i : j + 1] - off[i])))
-            yield pd.Series(np.concatenate(out) if out else np.empty(0))
+            yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
     return run(text.cast("string"))
 
