@@ -52,7 +52,12 @@ def indel(a: str, b: str) -> float:
 
 def partial(a: str, b: str) -> float:
     """The best indel similarity of the shorter string with a stretch of the longer as long, or its cut ends."""
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) == len(b) and a != b:
+        return max(_partial(a, b), _partial(b, a))
+    return _partial(a, b) if len(a) <= len(b) else _partial(b, a)
+
+
+def _partial(a: str, b: str) -> float:
     if not a:
         return 1.0 if not b else 0.0
     spans = [(i, i + len(a)) for i in range(len(b) - len(a) + 1)] + [(0, k) for k in range(1, len(a))] + [(len(b) - k, len(b)) for k in range(1, len(a))]
