@@ -141,7 +141,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = 5, coverage:
             for b in batches:
                 _, off = S.byte_column(b, "text")
                 rows = []
-                for i, j in S.chunks(off, 1 << 20):
+                for i, j in S.chunks(off, S.CHUNK):
                     words, at = word_names(b, "text", i, j)
                     for row, place, lo, hi in block.candidates(words, at):
                         n = hi - lo
@@ -170,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = 5, coverage:
                     kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), tiled]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(S.trimmed(run), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)

@@ -120,7 +120,7 @@ def shared_lines(docs: DataFrame, min_docs: int, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = S.byte_column(b, "text")
-            for i, j in S.chunks(off, 4 << 20):
+            for i, j in S.chunks(off, 1 << 20):
                 found = []
                 for a, e in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist(), strict=True):
                     lines = {x.strip(BLANK).lower() for x in data[a:e].tobytes().split(b"\n")} - {b""}
@@ -133,7 +133,7 @@ def shared_lines(docs: DataFrame, min_docs: int, text: str) -> DataFrame:
                 n = np.diff(np.concatenate([new, [len(h)]]))
                 yield pa.record_batch([pa.array(h[new, 0].view(np.int64)), pa.array(h[new, 1].view(np.int64)), pa.array(n)], names=["k1", "k2", "n"])
 
-    lines = docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "k1 long, k2 long, n long")
+    lines = docs.select(docs[text].cast("string").alias("text")).mapInArrow(S.trimmed(run), "k1 long, k2 long, n long")
     return lines.groupBy("k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
 
 
@@ -199,6 +199,7 @@ class LineFilter:
                     kept.append(pa.array(texts_, pa.binary()).cast(pa.string()))
                 whole = pa.concat_arrays(kept) if kept else pa.array([], pa.string())
                 yield pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), whole], names=["n_lines", "n_dropped", "kept"])
+            S.trim()
 
         return run(text)
 

@@ -14,6 +14,7 @@ split by document id, so ranges stay even.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import erf
 
 import numpy as np
@@ -65,6 +66,7 @@ def curve_keys(ids: np.ndarray, at: np.ndarray, projection: np.ndarray) -> np.nd
     return hilbert(np.minimum((uniform * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
+@cache
 def projection_table(size: int) -> np.ndarray:
     """A random vector of unit variance for each hashed token id."""
     out = [np.sqrt(12) * (K.mix(np.arange(size, dtype=np.uint64) * np.uint64(DIMENSIONS) + np.uint64(d + 1)) / 2.0**64 - 0.5) for d in range(DIMENSIONS)]
@@ -79,15 +81,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
     spark = docs.sparkSession
     parts = S.partitions(spark)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = projection_table(65_536)
-        for b in batches:
-            data, off = S.byte_column(b, "ids")
-            key = curve_keys(data.view("<u2"), off // 2, table) if b.num_rows else np.empty(0, np.int64)
-            yield pa.record_batch([pa.array(key), *b.columns], names=["key", "doc_id", "n_tokens", "ids"])
-
     source = S.documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID)))
-    table = S.stage_table(tokenized(source, tokenizer_path, end_id).mapInArrow(keyed, "key long, doc_id long, n_tokens long, ids binary"), "pack")
+    table = S.stage_table(tokenized(source, tokenizer_path, end_id, lambda doc, ids, at: curve_keys(ids, at, projection_table(65_536))), "pack")
     bounds = S.range_bounds(table.select("key", "doc_id"), ["key", "doc_id"], parts)
     cut_keys, cut_docs = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
 
@@ -145,4 +140,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
 
     dealt = table.withColumn("part", part_of("key", "doc_id")).repartitionById(len(bounds) + 1, F.col("part"))
     schema = ", ".join(f"{n} {'array<long>' if n == 'ids' else 'long'}" for n in names)
-    return dealt.sortWithinPartitions("key", "doc_id", "ids").mapInArrow(cut, schema)
+    return dealt.sortWithinPartitions("key", "doc_id", "ids").mapInArrow(S.trimmed(cut), schema)

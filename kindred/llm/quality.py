@@ -170,9 +170,10 @@ def score(text: Column, model: Model) -> Column:
         for col in texts:
             data, off = S.byte_column(pa.record_batch([col], names=["text"]), "text")
             out = []
-            for i, j in S.chunks(off, 1 << 19):
+            for i, j in S.chunks(off, S.CHUNK):
                 out.append(m.scores(*passages(data[off[i] : off[j]], off[i : j + 1] - off[i])))
             yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+        S.trim()
 
     return run(text.cast("string"))
 

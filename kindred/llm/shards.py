@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,11 @@ from kindred.llm.tokens import crc32, tokenizer
 INDEX_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, chunk: int = 1 << 20) -> DataFrame:
-    """(doc_id, n_tokens, ids): each text's ids as little-endian integers, 16 bits wide (all vocabularies
-    under 65,536 ids) so that they move in half the bytes."""
+def tokenized(docs: DataFrame, path: str, end_id: int, key: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], key_type: str = "long") -> DataFrame:
+    """(key, doc_id, n_tokens, ids): each text's ids as little-endian integers, 16 bits wide (all vocabularies
+    under 65,536 ids) so that they move in half the bytes. key gets the document ids, all rows' ids and their
+    offsets: it is taken in the same worker, as a second one beside it would double the memory."""
+    kind = pa.int64() if key_type == "long" else pa.int32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, end_id)
@@ -49,11 +51,12 @@ def tokenized(docs: DataFrame, path: str, end_id: int, chunk: int = 1 << 20) ->
             raise ValueError("ids do not fit 16 bits")
         for batch in batches:
             data, off = S.byte_column(batch, "text")
-            for i, j in S.chunks(off, chunk):
+            for i, j in S.chunks(off, S.CHUNK):
                 ids, at = tok.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at)), S.binary_array(ids.astype("<u2").view(np.uint8), at * 2)], names=["doc_id", "n_tokens", "ids"])
+                doc, short = batch.column("doc_id").slice(i, j - i), ids.astype("<u2")
+                yield pa.record_batch([pa.array(key(doc.to_numpy(), short, at), kind), doc, pa.array(np.diff(at)), S.binary_array(short.view(np.uint8), at * 2)], names=["key", "doc_id", "n_tokens", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.mapInArrow(S.trimmed(run), f"key {key_type}, doc_id long, n_tokens long, ids binary")
 
 
 class Writer:
@@ -152,12 +155,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, level: int = 3,
     bounds = S.range_bounds(docs.select("doc_id"), ["doc_id"], parts)
     cuts = np.array([b[0] for b in bounds], np.int64)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part = np.searchsorted(cuts, b.column(0).to_numpy(), "right").astype(np.int32)
-            yield pa.record_batch([*b.columns, pa.array(part)], names=["doc_id", "n_tokens", "ids", "part"])
-
-    placed = tokenized(docs, path, end_id).mapInArrow(place, "doc_id long, n_tokens long, ids binary, part int")
+    placed = tokenized(docs, path, end_id, lambda doc, ids, at: np.searchsorted(cuts, doc, "right"), "int").select("doc_id", "n_tokens", "ids", F.col("key").alias("part"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, tokens, part = None, 0, 0

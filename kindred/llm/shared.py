@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside an operator: it sorts before every other id.
 NULL_ID = -(2**63)
+#: Bytes of text that a worker takes up at a time; its temporaries are some fifty times as large.
+CHUNK = 1 << 18
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -98,6 +103,25 @@ def chunks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, trimming at its end: Spark uses Python workers again, and what one stage freed would stay with an idle one."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def pool_partitions(df: DataFrame, column: str) -> DataFrame:
     """Deal rows by a column of evenly filled buckets, numbered from 0, with as many in each partition."""
     n = partitions(df.sparkSession)

@@ -80,13 +80,13 @@ def fingerprints(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", text:
         for b in batches:
             data, off = S.byte_column(b, "text")
             fps = []
-            for i, j in S.chunks(off, 1 << 20):
+            for i, j in S.chunks(off, S.CHUNK):
                 each = [shingle_hashes(data[a:e].tobytes(), words) for a, e in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist(), strict=True)]
                 fps.append(majority(np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])))
             whole = np.concatenate(fps) if fps else np.empty(0, np.uint64)
             yield pa.record_batch([b.column("doc_id"), pa.array(whole.view(np.int64))], names=["doc_id", "fp"])
 
-    return S.documents(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long")
+    return S.documents(docs, doc_id, text).mapInArrow(S.trimmed(run), "doc_id long, fp long")
 
 
 def within(planes: np.ndarray, word: np.ndarray, fps: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +214,7 @@ def links(distinct: DataFrame, radius: int, block: int = 4096) -> DataFrame:
                     key = (key << np.uint64(hi - lo)) | ((fp >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1))
                 yield pa.record_batch([pa.array(np.full(len(fp), t, np.int32)), pa.array(key.view(np.int64)), b.column("fp")], names=["t", "key", "fp"])
 
-    rows = distinct.mapInArrow(keyed, "t int, key long, fp long")
+    rows = distinct.mapInArrow(S.trimmed(keyed), "t int, key long, fp long")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     # A large bucket's blocks: a row goes to every pair of blocks that has its own, as side 0 or 1, or 2 if both are its own.
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -246,7 +246,7 @@ def links(distinct: DataFrame, radius: int, block: int = 4096) -> DataFrame:
             yield flush(held[0])
 
     dealt = work.repartition(S.partitions(spark), *unit).sortWithinPartitions(*unit)
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(S.trimmed(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
