@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, lines, packing, quality, simhash
+from kindred.llm import decontaminate, lines, packing, quality, resemblance
 from kindred.llm import shared as S
 from kindred.llm.queries import END_ID, table, tokenizer_path
 
@@ -39,11 +39,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document of smallest id. Rows that share an id stay
-    or go together, a null id stays."""
+    """Of each group of near copies (a resemblance of 0.8 of five-word shingles) the document of smallest id. Rows
+    that share an id stay or go together, a null id stays."""
     _small_batches(spark)
-    groups = simhash.near_duplicates(docs, words=5, radius=4)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    groups = resemblance.near_copies(docs, words=5, similarity=0.8)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

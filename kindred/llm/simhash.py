@@ -17,7 +17,7 @@ Equal fingerprints are one node, so groups of exact copies, however large, add n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -93,45 +93,42 @@ def within(planes: np.ndarray, word: np.ndarray, fps: np.ndarray, lanes: np.ndar
     """Bit-sliced comparison of each fingerprint with one word of up to 64.
 
     planes[b, w] holds bit b of the fingerprints in word w, one a lane. Gives the comparisons that are left and
-    for each the lanes at most radius away. Counters hold up to 7; radius is 6 at most.
+    for each the lanes at most radius away. The vertical counters have as many planes as the radius needs; a lane
+    whose counter overflows is dead, and every eight bits so is one whose counter is over the radius.
     """
     left = np.arange(len(fps))
-    ones = np.zeros(len(fps), np.uint64)
-    twos, fours = ones.copy(), ones.copy()
+    counts = [np.zeros(len(fps), np.uint64) for _ in range(max(1, radius.bit_length()))]
     dead = ~lanes[word]
     for b in range(64):
-        diff = planes[b, word] ^ (np.uint64(0) - ((fps >> np.uint64(b)) & _ONE))
-        carry = ones & diff
-        ones ^= diff
-        diff = twos & carry
-        twos ^= carry
-        carry = fours & diff
-        fours ^= diff
-        dead |= carry | _exceeds(ones, twos, fours, radius)
+        carry = planes[b, word] ^ (np.uint64(0) - ((fps >> np.uint64(b)) & _ONE))
+        for k, plane in enumerate(counts):
+            counts[k], carry = plane ^ carry, plane & carry
+        dead |= carry
         if b % 8 == 7:
+            dead |= _exceeds(counts, radius)
             go = dead != _ALL
             if not go.all():
-                left, word, fps, ones, twos, fours, dead = (x[go] for x in (left, word, fps, ones, twos, fours, dead))
+                left, word, fps, dead, *counts = (x[go] for x in (left, word, fps, dead, *counts))
                 if not len(left):
                     break
     return left, ~dead
 
 
-def _exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
+def _exceeds(counts: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose counter is over the radius: a comparison with a constant, from the high bit down."""
-    over, equal = np.zeros_like(ones), np.full_like(ones, _ALL)
-    for bit, plane in ((4, fours), (2, twos), (1, ones)):
-        if radius & bit:
-            equal = equal & plane
+    over, equal = np.zeros_like(counts[0]), np.full_like(counts[0], _ALL)
+    for k in reversed(range(len(counts))):
+        if radius >> k & 1:
+            equal = equal & counts[k]
         else:
-            over = over | (equal & plane)
-            equal = equal & ~plane
+            over = over | (equal & counts[k])
+            equal = equal & ~counts[k]
     return over
 
 
-def forest(bucket: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) of a spanning forest of the links within each bucket. Rows are sorted by bucket; a row of
-    side 1 is compared with those of side 0 only, and one of side 2 with all."""
+def meetings(bucket: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a, b) of one bucket at most radius bits apart, some at a time, a row with itself included. Rows are
+    sorted by bucket; a row of side 1 is compared with those of side 0 only, and one of side 2 with all."""
     n = len(fps)
     fresh = np.ones(n, bool)
     fresh[1:] = bucket[1:] != bucket[:-1]
@@ -146,7 +143,6 @@ def forest(bucket: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -
     begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     planes = np.stack([np.bitwise_or.reduceat(((fps >> np.uint64(b)) & _ONE) << lane, begins) for b in range(64)])
     lanes = np.bitwise_or.reduceat(np.where(side != 1, _ONE, np.uint64(0)) << lane, begins)
-    root = np.arange(n)
     reach = words[group]
     total = np.concatenate([[0], np.cumsum(reach)])
     i = 0
@@ -160,13 +156,19 @@ def forest(bucket: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -
             a = part[left]
             while len(a):
                 low = hits & (np.uint64(0) - hits)
-                b = begins[to[left]] + np.log2(low.astype(np.float64)).astype(np.int64)
-                _union(root, a, b)
+                yield a, begins[to[left]] + np.log2(low.astype(np.float64)).astype(np.int64)
                 hits = hits & ~low
                 go = hits != 0
                 left, a, hits = left[go], a[go], hits[go]
         i = j
-    child = np.flatnonzero(root != np.arange(n))
+
+
+def forest(bucket: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a spanning forest of the links within each bucket; see meetings()."""
+    root = np.arange(len(fps))
+    for a, b in meetings(bucket, side, fps, radius):
+        _union(root, a, b)
+    child = np.flatnonzero(root != np.arange(len(fps)))
     return fps[child], fps[root[child]]
 
 
@@ -216,23 +218,39 @@ def links(distinct: DataFrame, radius: int, block: int = 4096) -> DataFrame:
 
     rows = distinct.mapInArrow(S.trimmed(keyed), "t int, key long, fp long")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    # A large bucket's blocks: a row goes to every pair of blocks that has its own, as side 0 or 1, or 2 if both are its own.
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    work = in_blocks(rows.join(sizes, ["t", "key"]), "fp", block).select(*UNIT, "side", "fp")
+
+    def compare(part: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
+        a, b = forest(unit, part[4], part[5].view(np.uint64), radius)
+        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    return by_unit(work, compare, "a long, b long")
+
+
+#: What names a bucket's pair of blocks.
+UNIT = ["t", "key", "lo", "hi"]
+
+
+def in_blocks(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """Rows of buckets (t, key) of n rows, dealt by a column's hash to blocks of about `block`: a row goes to every
+    pair of blocks that has its own, as side 0 or 1, or 2 if both are its own."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("lo"), F.greatest(F.col("own"), o).alias("hi"), F.when(F.col("own") == o, 2).when(F.col("own") < o, 0).otherwise(1).alias("side")))
-    work = rows.join(sizes, ["t", "key"]).withColumn("blocks", blocks).withColumn("own", own).select("t", "key", "fp", F.explode(pairs).alias("p")).select("t", "key", "p.lo", "p.hi", "p.side", "fp")
-    unit = ["t", "key", "lo", "hi"]
+    return rows.withColumn("p", F.explode(pairs)).select("*", "p.lo", "p.hi", "p.side").drop("p", "blocks", "own")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def by_unit(work: DataFrame, compare: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """compare(columns, unit numbers) over whole units; all columns are integers, the first four are UNIT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def flush(columns: np.ndarray) -> pa.RecordBatch:
-            new = np.concatenate([[0], np.cumsum((columns[:4, 1:] != columns[:4, :-1]).any(0))])
-            a, b = forest(new, columns[4], columns[5].view(np.uint64), radius)
-            return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def flush(part: np.ndarray) -> pa.RecordBatch:
+            return compare(part, np.concatenate([[0], np.cumsum((part[:4, 1:] != part[:4, :-1]).any(0))]))
 
         for b in batches:
-            now = np.stack([b.column(c).to_numpy().astype(np.int64) for c in (*unit, "side", "fp")])
+            now = np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
             if held:
                 now = np.concatenate([*held, now], 1)
             if now.shape[1] == 0:
@@ -245,8 +263,8 @@ def links(distinct: DataFrame, radius: int, block: int = 4096) -> DataFrame:
         if held and held[0].shape[1]:
             yield flush(held[0])
 
-    dealt = work.repartition(S.partitions(spark), *unit).sortWithinPartitions(*unit)
-    return dealt.mapInArrow(S.trimmed(compare), "a long, b long")
+    dealt = work.repartition(S.partitions(work.sparkSession), *UNIT).sortWithinPartitions(*UNIT)
+    return dealt.mapInArrow(S.trimmed(run), schema)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

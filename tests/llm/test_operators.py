@@ -8,9 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kindred.llm import ann, decontaminate, lines, packing, pii, quality, shards, simhash, substrings, urls
+from kindred.llm import ann, decontaminate, lines, packing, pii, quality, resemblance, shards, simhash, substrings, urls
 from kindred.llm import shared as S
 from kindred.llm.components import components
 from kindred.llm.queries import URL_RULES, tokenizer_path
@@ -102,6 +103,38 @@ def test_links_in_blocks(spark, block):
         assert all(got.get(int(y), int(y)) == got.get(int(x), int(x)) for y in near)
 
 
+def test_near_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(17)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (0, 1, 4, 5, 6, 9, 30, 80, 200, 500, 500)]
+    for base in list(texts[5:]):
+        for edits in (1, 2, 3, 4, 6, 9, 12, 20) * 3:
+            parts = base.split()
+            for at in rng.integers(0, len(parts), edits):
+                parts[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(parts))
+    texts += [*texts[3:12], texts[8].upper(), f"  {texts[9]}\n", None, "", " \t"]
+    ids = rng.permutation(len(texts)).tolist()
+    given = [(i, t) for i, t in zip(ids, texts, strict=True)] + [(None, texts[8]), (None, None), (ids[20], "another text under an id that is taken"), (ids[9], texts[9])]
+    df = spark.createDataFrame(given, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("n", F.lit(1)).repartition(5)
+    sets = [(i, {" ".join(p[k : k + 5]) for k in range(max(1, len(p) - 4))} if (p := (t or "").lower().split()) else set()) for i, t in given if i is not None]
+    root = {i: i for i, _ in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if i == j or (5 * len(x & y) >= 4 * len(x | y)):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    for block in (4096, 7):
+        got = {r.doc_id: r.component_id for r in resemblance.near_copies(df, block=block).collect()}
+        assert got == {i: top(i) for i in root}
+    assert resemblance.near_copies(df.limit(0)).collect() == []
+
+
 def test_lines(spark):
     rng = random.Random(5)
     common = ["Shared line.", "  shared LINE.\t", "", "other"]
