@@ -121,7 +121,7 @@ array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(toks,
     "q19_partitions": "WITH r AS (SELECT 'c' || c_custkey AS id, true AS own, c_mktsegment AS country, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey::VARCHAR ELSE '' END AS state, c_acctbal > 0 AS ok FROM customer UNION ALL SELECT 's' || s_suppkey, false, 'BUILDING', CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey::VARCHAR ELSE '' END, s_acctbal > 0 FROM supplier), b AS (SELECT country, avg((state <> '')::INT) >= 0.5 AS st FROM r WHERE own GROUP BY country) SELECT id, CASE WHEN NOT own AND (NOT ok OR (coalesce(st, false) AND state = '')) THEN r.country || '|POOL' WHEN coalesce(st, false) AND state <> '' THEN r.country || '|' || state ELSE r.country || '|*' END AS part FROM r LEFT JOIN b ON b.country = r.country",
     "q20_same_names": f"WITH {PART} SELECT id, count(*) FILTER (is_s1) OVER (PARTITION BY country, name) AS n_s1_same, count(*) FILTER (NOT is_s1) OVER (PARTITION BY country, name) AS n_pool_same FROM part_rec",
     "q21_set_similarity": f"WITH {CAND} SELECT s1, pool, round(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))), 6) AS jaccard, len(list_intersect(list_distinct(a.toks), list_distinct(b.toks)))::INTEGER AS shared, round(len(list_intersect(list_distinct(a.toks), list_distinct(b.toks))) / len(list_distinct(a.toks)), 6) AS inside FROM cand JOIN rec a ON a.id = s1 JOIN rec b ON b.id = pool",
-    "q22_edit_distance": f"WITH {CAND} SELECT s1, pool, levenshtein(substr(regexp_replace(lower(a.name), '[^a-z0-9 ]', '', 'g'), 1, 120), substr(regexp_replace(lower(b.name), '[^a-z0-9 ]', '', 'g'), 1, 120))::INTEGER AS distance FROM cand JOIN ent a ON a.id = s1 JOIN ent b ON b.id = pool",
+    "q22_edit_distance": f"WITH {CAND} SELECT s1, pool, levenshtein(regexp_replace(lower(a.name), '[^a-z0-9 ]', '', 'g'), regexp_replace(lower(b.name), '[^a-z0-9 ]', '', 'g'))::INTEGER AS distance FROM cand JOIN ent a ON a.id = s1 JOIN ent b ON b.id = pool",
     "q23_jaro_winkler": f"WITH {PART}, n AS (SELECT DISTINCT country, name FROM part_rec) SELECT a.country, a.name, b.name AS other, round(jaro_winkler_similarity(a.name, b.name), 6) AS jw FROM n a JOIN n b ON a.country = b.country AND substr(a.name, 1, 3) = substr(b.name, 1, 3)",
     "q24_idf_overlap": f"WITH {CAND}, x AS (SELECT DISTINCT id, term, idf FROM (SELECT id, country, unnest(toks) AS term FROM rec) t JOIN terms USING (country, term)), e AS (SELECT s1, pool, term, max(idf) AS idf, sum(side) AS sides FROM (SELECT s1, pool, term, idf, 1 AS side FROM cand JOIN x ON x.id = s1 UNION ALL SELECT s1, pool, term, idf, 2 FROM cand JOIN x ON x.id = pool) y GROUP BY 1, 2, 3) SELECT s1, pool, round(coalesce(sum(idf) FILTER (sides = 3), 0) / sum(idf), 6) AS idf_jaccard, round(coalesce(max(idf) FILTER (sides = 3), 0), 6) AS max_shared_idf, round(coalesce(sum(idf) FILTER (sides = 2), 0), 6) AS pool_only_idf FROM e GROUP BY 1, 2",
     "q25_rank_gap": _pairs("SELECT s1, pool, count(*) OVER (PARTITION BY s1) AS n_pool, count(*) OVER (PARTITION BY pool) AS n_s1, rank() OVER (PARTITION BY s1 ORDER BY prob DESC)::INTEGER AS s1_rank, round(max(prob) OVER (PARTITION BY s1) - prob, 6) AS s1_gap, rank() OVER (PARTITION BY pool ORDER BY prob DESC)::INTEGER AS pool_rank, round(max(prob) OVER (PARTITION BY pool) - prob, 6) AS pool_gap FROM p"),

@@ -192,7 +192,7 @@ def q21_set_similarity(s, d):  # noqa: ANN001, ANN201
 @query
 def q22_edit_distance(s, d):  # noqa: ANN001, ANN201
     t = _candidate_texts(s, d)
-    plain = lambda c: F.substring(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""), 1, 120)
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9 ]", "")
     return t.select("s1", "pool", F.levenshtein(plain(F.col("name_a")), plain(F.col("name_b"))).alias("distance"))
 
 

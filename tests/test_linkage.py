@@ -163,3 +163,28 @@ def test_against_duckdb(spark, name):
     columns = sorted(df.columns)
     assert columns == sorted(expect.columns)
     assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, expect.select(*columns).fetchall()))
+
+
+def documents(spark, tmp_path, rows):
+    """A table of documents (id, text, lang, whether of the first source), as the queries read it."""
+    spark.createDataFrame([(i, t, lang, "src0" if own else "src9", len(t)) for i, t, lang, own in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance_of_long_names(spark, tmp_path):
+    same = "harbor tools and marine supply of the north shore " * 4
+    names = {1: same + "austin", 2: same + "austin", 3: same + "boston, port 7", 4: "harbor " + same + "reno", 5: "Harbor Tools"}
+    d = documents(spark, tmp_path, [(i, n, "en", i == 1) for i, n in names.items()])
+    plain = {i: "".join(c for c in n.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789 ") for i, n in names.items()}
+    got = {(r.s1, r.pool): r.distance for r in entry.queries()["q22_edit_distance"](spark, d).collect()}
+    assert got == {(1, i): edits(plain[1], plain[i]) for i in (2, 3, 4, 5)}
