@@ -3,7 +3,8 @@
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for account numbers), and words
 shortly before a span adjust its score; spans that reach the threshold are kept. Kinds in order: email, ip, card,
 phone, iban, ssn. The base spans (email, ip, card, phone with a country prefix) score the threshold by themselves.
-Account numbers need their checksum and no context. National phone numbers and social security numbers, which
+Account numbers need their checksum and no context; each length that one may have is tried, as words after it may
+look like more of it. National phone numbers and social security numbers, which
 have no checksum, need a context word; a national phone number inside a base phone span is part of it.
 
 Positions: splitting a text by a pattern gives what lies between its matches; lengths of both, added up, give each
@@ -26,7 +27,15 @@ EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}"
 CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?+[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"
+#: Where an account number may start, and its text if it has n letters and digits.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})"
+IBAN_OF = r"^[A-Z0-9](?: ?[A-Z0-9]){%d}(?![A-Za-z0-9])"
+#: Lengths of account numbers by country (the registry's); others may have 15 to 34.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 NATIONAL = r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
 #: A text without any of these has no ip, card, iban, ssn or national phone number.
@@ -68,6 +77,25 @@ def mod97(what: Column) -> Column:
     return F.length(plain).between(15, 34) & (F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1)
 
 
+def account_numbers(text: Column, heads: Column) -> Column:
+    """array<struct<start, end, what>> of the account numbers that start at heads, none over another. Every length
+    that ends with a word is held against the checksum; the country's own goes first, then the longest."""
+    none = F.array().cast("array<struct<start:int,end:int,what:string>>")
+
+    def number(x: Column) -> Column:
+        tail = F.substring(text, x["start"] + 1, F.lit(2 * 34))
+        of = {n: F.regexp_extract(tail, IBAN_OF % (n - 1), 0) for n in range(34, 14, -1)}
+        own = [F.when(F.substring(x["what"], 1, 2).isin(c.split()), of[n]).otherwise("") for n, c in IBAN_LENGTHS.items()]
+        return F.get(F.filter(F.array(F.array_max(F.array(*own)), *of.values()), lambda w: (w != "") & mod97(w)), F.lit(0))
+
+    def add(spans: Column, x: Column) -> Column:
+        free = x["what"].isNotNull() & ~F.exists(spans, lambda s: s["end"] > x["start"])
+        return F.when(free, F.concat(spans, F.array(x))).otherwise(spans)
+
+    tried = F.transform(F.transform(heads, lambda x: F.struct(x["start"].alias("start"), number(x).alias("what"))), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["what"])).alias("end"), x["what"].alias("what")))
+    return F.when(F.size(heads) > 0, F.aggregate(tried, none, add)).otherwise(none)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, what>> of a pattern's matches, in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -112,7 +140,7 @@ def find_spans(text: Column, likely: Column) -> dict[str, Column]:
         "ip": _scored("ip", if_digits(IP), True, lambda x: x["what"].rlike(rf"^{PART}(\.{PART}){{3}}$"), one),
         "card": _scored("card", if_digits(CARD), True, lambda x: length(x).between(16, 19) & luhn(_digits(x["what"])), one),
         "phone": _scored("phone", F.when(F.contains(text, F.lit("+")), matches(text, PHONE)).otherwise(none), True, lambda x: length(x).between(8, 15), one),
-        "iban": _scored("iban", if_digits(IBAN), False, lambda x: _bare(text, x, "[A-Za-z0-9]") & mod97(x["what"]), lambda x: 0.7 + 0.3 * _near(text, x["start"], IBAN_WORDS)),
+        "iban": _scored("iban", account_numbers(text, if_digits(IBAN)), False, lambda x: F.lit(True), lambda x: 0.7 + 0.3 * _near(text, x["start"], IBAN_WORDS)),
         "ssn": _scored("ssn", if_digits(SSN), False, lambda x: _bare(text, x, "[A-Za-z0-9-]") & ~x["what"].rlike("^(000|666|9)|-00-|-0000$"), lambda x: 0.2 + 0.5 * _near(text, x["start"], SSN_WORDS)),
         "national": _scored("phone", if_digits(NATIONAL), False, lambda x: _bare(text, x, "[0-9+]"), lambda x: 0.2 + 0.5 * _near(text, x["start"], PHONE_WORDS)),
     }

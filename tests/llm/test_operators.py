@@ -277,6 +277,25 @@ def test_pii(spark):
     assert got[3].spans == "card:0:19,phone:20:37"
 
 
+def test_account_numbers_before_other_text(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    lines = {
+        f"{de} Please": [(0, 27)],
+        f"{de} BIC COBADEFF": [(0, 27)],
+        f"é {de} 12 A": [(2, 29)],
+        f"{de} {gb} {de}": [(0, 27), (28, 55), (56, 83)],
+        f"AB12 {de}, {gb.replace(' ', '')}.": [(5, 32), (34, 56)],
+        "ZZ11 XYZ " + de + " IS": [(9, 36)],
+        "NO9386011117947 AND MT84MALT011000012345MTLCAST001S THEN": [(0, 15), (20, 51)],
+        de + "x": [],
+        "x" + de: [],
+        de.replace("89", "88") + " Please": [],
+        "DE89 3704 0044 0532 0130": [],
+    }
+    got = pii.find_pii(docs(spark, list(enumerate(lines)))).collect()
+    assert {r.doc_id: [(x.start, x.end) for x in r.spans if x.kind == "iban"] for r in got} == dict(enumerate(lines.values()))
+
+
 def test_pipeline(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     kept = table
