@@ -10,9 +10,9 @@ REC = f"{ENT}, rec AS (SELECT id, is_s1, country, {PLAIN.format('text')} AS toks
 GOLD_E = "gold AS (SELECT s1, p.id AS pool FROM (SELECT text, min(id) AS s1 FROM ent WHERE is_s1 GROUP BY text) o JOIN ent p ON p.text = o.text AND NOT p.is_s1)"
 P = "p AS (SELECT l_orderkey AS s1, l_partkey AS pool, max(round((l_quantity - 0.5) / 50.0, 6)) AS prob, max(round(1 - l_discount * 5, 6)) AS prob2, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::INTEGER AS label FROM lineitem GROUP BY 1, 2)"
 S1 = "s AS (SELECT o_orderkey AS s1, o_orderpriority AS country FROM orders)"
-TERMS = "terms AS (SELECT country, term, ln(1 + n / df) AS idf FROM (SELECT country, term, count(*) AS df FROM (SELECT DISTINCT id, country, unnest(toks) AS term FROM rec WHERE NOT is_s1) t GROUP BY 1, 2) d JOIN (SELECT country, count(*) AS n FROM rec WHERE NOT is_s1 GROUP BY 1) c USING (country) WHERE df <= 300)"
+TERMS = "terms AS (SELECT country, term, ln(1 + n / df) AS idf FROM (SELECT country, term, count(*) AS df FROM (SELECT DISTINCT id, country, unnest(toks) AS term FROM rec WHERE NOT is_s1) t GROUP BY 1, 2) d JOIN (SELECT country, count(*) AS n FROM rec WHERE NOT is_s1 GROUP BY 1) c USING (country) WHERE df <= 3000)"
 POST = "post AS (SELECT id, is_s1, country, term, idf / (sqrt(sum(idf * idf) OVER (PARTITION BY id)) + 1e-6) AS w FROM (SELECT DISTINCT id, is_s1, country, unnest(toks) AS term FROM rec) t JOIN terms USING (country, term))"
-TOP = "cand AS (SELECT * FROM (SELECT s1, pool, score, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, pool)::INTEGER AS rank FROM (SELECT a.id AS s1, b.id AS pool, round(sum(a.w * b.w), 9) AS score FROM post a JOIN post b USING (country, term) WHERE a.is_s1 AND NOT b.is_s1 GROUP BY 1, 2) x) y WHERE rank <= 5)"
+TOP = "cand AS (SELECT * FROM (SELECT s1, pool, score, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, pool)::INTEGER AS rank FROM (SELECT a.id AS s1, b.id AS pool, round(sum(a.w * b.w), 9) AS score FROM post a JOIN post b USING (country, term) WHERE a.is_s1 AND NOT b.is_s1 GROUP BY 1, 2) x) y WHERE rank <= 12)"
 CAND = f"{REC}, {TERMS}, {POST}, {TOP}"
 PART = f"part_rec AS (SELECT p_partkey AS id, p_partkey % 3 = 0 AS is_s1, p_brand AS country, lower(p_name) AS name, {PLAIN.format('p_name')} AS toks FROM part)"
 
@@ -144,7 +144,7 @@ array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(toks,
     "q42_best_threshold": _pairs(f", {SWEEP}, m AS (SELECT country, tau, round(avg({F05}), 6) AS macro_f05 FROM each GROUP BY ALL) SELECT country, tau, macro_f05 FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY macro_f05 DESC, tau) AS rn FROM m) t WHERE rn = 1"),
     "q43_error_breakdown": _pairs(f", {RATIO('prob', 'r')}, {_per_s1('r')}, ms AS (SELECT s1, count(*) AS n_missed FROM p WHERE label = 1 AND prob < 0.2 GROUP BY s1), e AS (SELECT CASE WHEN n_gold = 0 THEN 'fp_on_singleton' WHEN n_pred = 0 THEN 'empty_pred_on_match' WHEN n_pred > tp AND n_gold > tp THEN 'fp_and_fn' WHEN n_pred > tp THEN 'fp_only' ELSE 'fn_only' END AS cause, 1 - f05 AS loss, coalesce(n_missed, 0) AS nm, n_gold - tp AS fn FROM sc LEFT JOIN ms ON ms.s1 = sc.s1 WHERE f05 < 1) SELECT cause, count(*) AS n, round(sum(loss), 6) AS loss, round(sum(loss) / sum(sum(loss)) OVER (), 6) AS share, sum(nm)::BIGINT AS fn_blocking, sum(fn - nm)::BIGINT AS fn_filter FROM e GROUP BY cause"),
     "q44_churn": _pairs(f", {RATIO('prob', 'a')}, {RATIO('prob2', 'b')}, j AS (SELECT coalesce(a.s1, b.s1) AS s1, a.s1 IS NULL AS ad, b.s1 IS NULL AS rm FROM a FULL JOIN b ON a.s1 = b.s1 AND a.pool = b.pool) SELECT count(DISTINCT s1) FILTER (ad OR rm) AS changed, count(*) FILTER (ad) AS added, count(*) FILTER (rm) AS removed FROM j"),
-    "q45_blocking_recall": f"WITH {CAND}, {GOLD_E} SELECT k::INTEGER AS k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM gold LEFT JOIN cand USING (s1, pool) CROSS JOIN (SELECT unnest([1, 2, 3, 5]) AS k) g GROUP BY k",
+    "q45_blocking_recall": f"WITH {CAND}, {GOLD_E} SELECT k::INTEGER AS k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM gold LEFT JOIN cand USING (s1, pool) CROSS JOIN (SELECT unnest([1, 2, 3, 5, 12]) AS k) g GROUP BY k",
     "q46_oracle_f05": _pairs(f", {_per_s1('(SELECT s1, pool FROM p WHERE label = 1 AND prob >= 0.2)')} SELECT {REPORT} FROM sc"),
     "q47_id_lists": _pairs(f", {RATIO('prob', 'r')} SELECT s.s1, coalesce(string_agg(pool::VARCHAR, ',' ORDER BY pool), '') AS ids FROM s LEFT JOIN r ON r.s1 = s.s1 GROUP BY s.s1"),
     "q48_validator": _pairs(", l AS (SELECT DISTINCT s1 FROM p), i AS (SELECT s1, pool FROM p WHERE prob > 0.5), x AS (SELECT 'self_match' AS rule, s1 || ':' || pool AS what FROM i WHERE s1 = pool UNION ALL SELECT 'unknown_id', s1 || ':' || pool FROM i WHERE pool NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45) UNION ALL SELECT 'missing_s1', s1::VARCHAR FROM s WHERE s1 NOT IN (SELECT s1 FROM l) UNION ALL SELECT 'extra_s1', s1::VARCHAR FROM l WHERE s1 NOT IN (SELECT s1 FROM s)) SELECT rule, count(*) AS n, min(what) AS example FROM x GROUP BY rule"),

@@ -19,6 +19,8 @@ from kindred.plans.adapter import entities, entity_gold, pairs, part_records, pl
 from kindred.sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The reference's caps: candidates of a record, and pool records of a language that may share a term.
+TOP_K, MAX_DF = 12, 3000
 TAUS = [round(0.05 * i, 2) for i in range(1, 20)]
 
 
@@ -35,7 +37,7 @@ def _records(s: SparkSession, d: str) -> DataFrame:
     return entities(s, d).select("id", "is_s1", "country", plain_tokens(F.col("text")).alias("toks"))
 
 
-def _token_candidates(s: SparkSession, d: str, k: int = 5, max_df: int = 300) -> DataFrame:
+def _token_candidates(s: SparkSession, d: str, k: int = TOP_K, max_df: int = MAX_DF) -> DataFrame:
     r = _records(s, d)
     return bl.token_top_k(r.where("is_s1"), r.where(~F.col("is_s1")), k, max_df)
 
@@ -107,7 +109,7 @@ def q10_term_counts(s, d):  # noqa: ANN001, ANN201
 @query
 def q11_idf_weights(s, d):  # noqa: ANN001, ANN201
     r = _records(s, d).where(~F.col("is_s1"))
-    return bl.idf_postings(r, bl.rare_terms(r, 300)).select("id", "term", _r("w"))
+    return bl.idf_postings(r, bl.rare_terms(r, MAX_DF)).select("id", "term", _r("w"))
 
 
 @query
@@ -214,7 +216,7 @@ def q23b_string_ratios(s, d):  # noqa: ANN001, ANN201
 @query
 def q24_idf_overlap(s, d):  # noqa: ANN001, ANN201
     r = _records(s, d)
-    terms = bl.rare_terms(r.where(~F.col("is_s1")), 300)
+    terms = bl.rare_terms(r.where(~F.col("is_s1")), MAX_DF)
     return bl.idf_overlap(_token_candidates(s, d).select("s1", "pool"), r, terms).select("s1", "pool", _r("idf_jaccard"), _r("max_shared_idf"), _r("pool_only_idf"))
 
 
@@ -345,7 +347,7 @@ def q44_churn(s, d):  # noqa: ANN001, ANN201
 
 @query
 def q45_blocking_recall(s, d):  # noqa: ANN001, ANN201
-    return ev.recall(entity_gold(s, d), _token_candidates(s, d), [1, 2, 3, 5])
+    return ev.recall(entity_gold(s, d), _token_candidates(s, d), [1, 2, 3, 5, TOP_K])
 
 
 @query

@@ -3,6 +3,8 @@
 import itertools
 import math
 import os
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -188,3 +190,23 @@ def test_edit_distance_of_long_names(spark, tmp_path):
     plain = {i: "".join(c for c in n.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789 ") for i, n in names.items()}
     got = {(r.s1, r.pool): r.distance for r in entry.queries()["q22_edit_distance"](spark, d).collect()}
     assert got == {(1, i): edits(plain[1], plain[i]) for i in (2, 3, 4, 5)}
+
+
+def test_candidates_of_frequent_texts(spark, tmp_path):
+    rng = random.Random(5)
+    common, rows = "harbor tools", [(i, " ".join(rng.choice("abcdefghijk") + str(rng.randint(0, 9)) for _ in range(6)), "en", i % 4 == 0) for i in range(120)]
+    rows += [(1000, common, "en", True), *[(1001 + i, common, "en", False) for i in range(320)]]
+    d = documents(spark, tmp_path, rows)
+    pool, own = ({i: set(t.split()) for i, t, _, o in rows if o == side} for side in (False, True))
+    df = Counter(t for toks in pool.values() for t in toks)
+    idf = {t: math.log1p(len(pool) / n) for t, n in df.items() if n <= 3000}
+    norm = lambda toks: math.sqrt(sum(idf[t] ** 2 for t in toks if t in idf)) + 1e-6
+    expect = {}
+    for a, ta in own.items():
+        scores = [(-round(sum(idf[t] ** 2 for t in ta & tb if t in idf) / norm(ta) / norm(tb), 9), b) for b, tb in pool.items() if any(t in idf for t in ta & tb)]
+        expect |= {(a, b): (k, pytest.approx(-s, abs=2e-6)) for k, (s, b) in enumerate(sorted(scores)[:12], 1)}
+    got = {(r.s1, r.pool): (r["rank"], r.score) for r in entry.queries()["q12_token_top_k"](spark, d).collect()}
+    assert [b for a, b in sorted(got) if a == 1000] == list(range(1001, 1013))
+    assert got == expect
+    recall = {r.k: r.recall for r in entry.queries()["q45_blocking_recall"](spark, d).collect()}
+    assert recall == {k: pytest.approx(k / 320, abs=1e-6) for k in (1, 2, 3, 5, 12)}
