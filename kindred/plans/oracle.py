@@ -74,7 +74,7 @@ def _per_s1(pred: str, gold: str = "(SELECT s1, pool FROM p WHERE label = 1)", s
 
 REPORT = "count(*) AS n, round(avg(f05), 6) AS macro_f05, CASE WHEN sum(n_pred) > 0 THEN round(sum(tp) / sum(n_pred), 6) ELSE 0.0 END AS precision, CASE WHEN sum(n_gold) > 0 THEN round(sum(tp) / sum(n_gold), 6) ELSE 0.0 END AS recall, round(avg(f05) FILTER (n_gold = 0), 6) AS f05_none, round(avg(f05) FILTER (n_gold > 1), 6) AS f05_many"
 SCORED = f"{ONE}, {_prefix('one', 1.0, 'pre')}, {_per_s1('pre')}"
-GRID = "grid AS (SELECT round(0.05 * i, 2)::DOUBLE AS tau FROM range(1, 20) t(i))"
+GRID = "grid AS (SELECT round(0.01 * i, 2)::DOUBLE AS tau FROM range(5, 96) t(i))"
 SWEEP = f"""{ONE}, {GRID}, g AS (SELECT s1, count(*) AS n_gold FROM p WHERE label = 1 GROUP BY s1),
 each AS (SELECT s.s1, country, tau, coalesce(n_gold, 0) AS n_gold, count(one.pool) AS n_pred, coalesce(sum(one.label), 0) AS tp FROM s CROSS JOIN grid LEFT JOIN g ON g.s1 = s.s1 LEFT JOIN one ON one.s1 = s.s1 AND one.prob >= tau GROUP BY s.s1, country, tau, n_gold)"""
 RATIO = lambda c, n: f"{n} AS (SELECT s1, pool, prob FROM (SELECT *, max({c}) OVER (PARTITION BY s1) AS best FROM p) t WHERE {c} >= 0.5 AND {c} >= 0.6 * best)"

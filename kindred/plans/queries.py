@@ -21,7 +21,7 @@ from kindred.sources import tables as src
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The reference's caps: candidates of a record, and pool records of a language that may share a term.
 TOP_K, MAX_DF = 12, 3000
-TAUS = [round(0.05 * i, 2) for i in range(1, 20)]
+TAUS = [round(0.01 * i, 2) for i in range(5, 96)]
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

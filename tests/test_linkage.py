@@ -210,3 +210,33 @@ def test_candidates_of_frequent_texts(spark, tmp_path):
     assert got == expect
     recall = {r.k: r.recall for r in entry.queries()["q45_blocking_recall"](spark, d).collect()}
     assert recall == {k: pytest.approx(k / 320, abs=1e-6) for k in (1, 2, 3, 5, 12)}
+
+
+@pytest.mark.parametrize("name", ["q41_threshold_sweep", "q42_best_threshold"])
+def test_sweep_against_brute_force(spark, name):
+    from kindred.plans import adapter
+
+    pairs = [tuple(r) for r in adapter.pairs(spark, SF).select("s1", "pool", "prob", "label").collect()]
+    country = {r.s1: r.country for r in adapter.s1_records(spark, SF).collect()}
+    first = {}
+    for s1, pool, p, _ in sorted(pairs, key=lambda x: (-x[2], x[0])):
+        first.setdefault(pool, (s1, p))
+    gold = {s: {b for a, b, _, y in pairs if a == s and y} for s in {p[0] for p in pairs}}
+    curves = {}
+    for i in range(5, 96):
+        found = {}
+        for pool, (s1, p) in first.items():
+            if p >= i / 100:
+                found.setdefault(s1, set()).add(pool)
+        for s1, c in country.items():
+            g, f = gold.get(s1, set()), found.get(s1, set())
+            score = 1.25 * len(g & f) / (0.25 * len(g) + len(f)) if g or f else 1.0
+            for by in (c, None):
+                curves.setdefault(by, {}).setdefault(i / 100, []).append(score)
+    curves = {by: {t: round(sum(x) / len(x), 6) for t, x in c.items()} for by, c in curves.items()}
+    rows = entry.queries()[name](spark, SF).collect()
+    if name == "q41_threshold_sweep":
+        assert {r.tau: r.macro_f05 for r in rows} == pytest.approx(curves[None], abs=1.1e-6) and len(rows) == 91
+    else:
+        got = {r.country: (r.tau, r.macro_f05) for r in rows}
+        assert got == {c: (min(t for t in x if x[t] == max(x.values())), pytest.approx(max(x.values()), abs=1.1e-6)) for c, x in curves.items() if c}
