@@ -117,15 +117,15 @@ def rarest(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
 def expand(seeds: DataFrame, keys: DataFrame, candidates: DataFrame, cap: int, most: int) -> DataFrame:
     """(s1, pool, via_kind) of pool records that share a key with a seed record of the s1 and are no candidates yet.
 
-    seeds: (s1, seed), keys: (id, is_s1, kind, key); keys of over cap pool records are none; at most `most` a s1,
-    address keys first, then smaller ids.
+    seeds: (s1, seed, via: 0 for the s1 itself, 1 for a sure match of it), keys: (id, is_s1, kind, key); keys of over
+    cap pool records are none; at most `most` a s1, address keys first, then smaller via, then smaller ids.
     """
     pool = keys.where(~F.col("is_s1")).select("kind", "key", F.col("id").alias("pool")).distinct()
     good = pool.groupBy("kind", "key").count().where(F.col("count") <= cap).select("kind", "key")
     pool = pool.join(good, ["kind", "key"], "left_semi")
     found = seeds.join(keys.select(F.col("id").alias("seed"), "kind", "key").distinct(), "seed").join(pool, ["kind", "key"])
-    fresh = found.where(F.col("pool") != F.col("seed")).groupBy("s1", "pool").agg(F.max(F.when(F.col("kind") == "addr", 1).otherwise(0)).alias("by_addr")).join(candidates.select("s1", "pool"), ["s1", "pool"], "left_anti")
-    return top_k(fresh, "s1", [F.desc("by_addr"), F.asc("pool")], most)
+    fresh = found.where(F.col("pool") != F.col("seed")).groupBy("s1", "pool").agg(F.max(F.when(F.col("kind") == "addr", 1).otherwise(0)).alias("by_addr"), F.min("via").alias("via")).join(candidates.select("s1", "pool"), ["s1", "pool"], "left_anti")
+    return top_k(fresh, "s1", [F.desc("by_addr"), F.asc("via"), F.asc("pool")], most)
 
 
 def idf_overlap(pairs: DataFrame, toks: DataFrame, terms: DataFrame) -> DataFrame:

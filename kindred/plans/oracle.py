@@ -113,10 +113,10 @@ array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(toks,
     "q11_idf_weights": f"WITH {REC}, {TERMS}, {POST} SELECT id, term, round(w, 6) AS w FROM post WHERE NOT is_s1",
     "q12_token_top_k": f"WITH {CAND} SELECT s1, pool, round(score, 6) AS score, rank FROM cand",
     "q13_nearest_vectors": "WITH x AS (SELECT a.vec_id AS s1, b.vec_id AS pool, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0) SELECT s1, pool, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, pool)::INTEGER AS rank FROM x) y WHERE rank <= 5",
-    "q14_union_passes": _pairs(", a AS (SELECT * FROM (SELECT s1, pool, prob AS score, row_number() OVER (PARTITION BY s1 ORDER BY prob DESC, pool)::INTEGER AS rank FROM p) t WHERE rank <= 3), b AS (SELECT * FROM (SELECT s1, pool, prob2 AS score, row_number() OVER (PARTITION BY s1 ORDER BY prob2 DESC, pool)::INTEGER AS rank FROM p) t WHERE rank <= 3), j AS (SELECT coalesce(a.s1, b.s1) AS s1, coalesce(a.pool, b.pool) AS pool, coalesce(a.score, 0.0) AS tok_score, coalesce(a.rank, 999) AS tok_rank, coalesce(b.score, 0.0) AS emb_score, coalesce(b.rank, 999) AS emb_rank, least(coalesce(a.rank, 999), coalesce(b.rank, 999)) AS best_rank FROM a FULL JOIN b ON a.s1 = b.s1 AND a.pool = b.pool) SELECT s1, pool, tok_score, tok_rank, emb_score, emb_rank, best_rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY best_rank, pool) AS rn FROM j) t WHERE rn <= 4"),
-    "q15_key_pairs": f"WITH {KEYS}, {_key_pairs(50)} SELECT s1, pool, bits FROM kp",
+    "q14_union_passes": _pairs(", a AS (SELECT * FROM (SELECT s1, pool, prob AS score, row_number() OVER (PARTITION BY s1 ORDER BY prob DESC, pool)::INTEGER AS rank FROM p) t WHERE rank <= 12), b AS (SELECT * FROM (SELECT s1, pool, prob2 AS score, row_number() OVER (PARTITION BY s1 ORDER BY prob2 DESC, pool)::INTEGER AS rank FROM p) t WHERE rank <= 20), j AS (SELECT coalesce(a.s1, b.s1) AS s1, coalesce(a.pool, b.pool) AS pool, coalesce(a.score, 0.0) AS tok_score, coalesce(a.rank, 999) AS tok_rank, coalesce(b.score, 0.0) AS emb_score, coalesce(b.rank, 999) AS emb_rank, least(coalesce(a.rank, 999), coalesce(b.rank, 999)) AS best_rank FROM a FULL JOIN b ON a.s1 = b.s1 AND a.pool = b.pool) SELECT s1, pool, tok_score, tok_rank, emb_score, emb_rank, best_rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY best_rank, pool) AS rn FROM j) t WHERE rn <= 25"),
+    "q15_key_pairs": f"WITH {KEYS}, {_key_pairs(200)} SELECT s1, pool, bits FROM kp",
     "q16_digit_deletion_pairs": "WITH n AS (SELECT c_custkey AS id, true AS own, c_nationkey AS part, regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT::VARCHAR AS num FROM customer UNION ALL SELECT s_suppkey, false, s_nationkey, regexp_extract(s_name, '([0-9]+)$', 1)::BIGINT::VARCHAR FROM supplier), k AS (SELECT id, own, part, num::BIGINT AS key FROM n UNION SELECT id, own, part, (substr(num, 1, i - 1) || substr(num, i + 1))::BIGINT FROM (SELECT *, unnest(range(1, length(num) + 1)) AS i FROM n WHERE length(num) >= 3) t), g AS (SELECT part, key FROM k WHERE NOT own GROUP BY ALL HAVING count(*) <= 20) SELECT DISTINCT a.id AS s1, b.id AS pool FROM k a JOIN k b ON a.part = b.part AND a.key = b.key AND a.own AND NOT b.own JOIN g ON g.part = a.part AND g.key = a.key",
-    "q17_pair_bits": f"WITH {KEYS}, {_key_pairs(50)} SELECT (bits & 1)::INTEGER AS f_set, ((bits >> 1) & 1)::INTEGER AS f_pair, ((bits >> 2) & 1)::INTEGER AS f_glue, count(*) AS n FROM kp GROUP BY ALL",
+    "q17_pair_bits": f"WITH {KEYS}, {_key_pairs(200)} SELECT (bits & 1)::INTEGER AS f_set, ((bits >> 1) & 1)::INTEGER AS f_pair, ((bits >> 2) & 1)::INTEGER AS f_glue, count(*) AS n FROM kp GROUP BY ALL",
     "q18_fillers": f"WITH {REC}, t AS (SELECT country, term, count(*) FILTER (is_s1) AS df1, count(*) FILTER (NOT is_s1) AS df2 FROM (SELECT DISTINCT id, is_s1, country, unnest(toks) AS term FROM rec) x GROUP BY ALL), c AS (SELECT country, count(*) FILTER (is_s1) AS n1, count(*) FILTER (NOT is_s1) AS n2 FROM rec GROUP BY country) SELECT country, term, df1, df2 FROM t JOIN c USING (country) WHERE df2 >= greatest(5, 0.00075 * n2) AND df2 / n2 >= 1.2 * (df1 + 1) / n1",
     "q19_partitions": "WITH r AS (SELECT 'c' || c_custkey AS id, true AS own, c_mktsegment AS country, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey::VARCHAR ELSE '' END AS state, c_acctbal > 0 AS ok FROM customer UNION ALL SELECT 's' || s_suppkey, false, 'BUILDING', CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey::VARCHAR ELSE '' END, s_acctbal > 0 FROM supplier), b AS (SELECT country, avg((state <> '')::INT) >= 0.5 AS st FROM r WHERE own GROUP BY country) SELECT id, CASE WHEN NOT own AND (NOT ok OR (coalesce(st, false) AND state = '')) THEN r.country || '|POOL' WHEN coalesce(st, false) AND state <> '' THEN r.country || '|' || state ELSE r.country || '|*' END AS part FROM r LEFT JOIN b ON b.country = r.country",
     "q20_same_names": f"WITH {PART} SELECT id, count(*) FILTER (is_s1) OVER (PARTITION BY country, name) AS n_s1_same, count(*) FILTER (NOT is_s1) OVER (PARTITION BY country, name) AS n_pool_same FROM part_rec",
@@ -148,7 +148,7 @@ array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(toks,
     "q46_oracle_f05": _pairs(f", {_per_s1('(SELECT s1, pool FROM p WHERE label = 1 AND prob >= 0.2)')} SELECT {REPORT} FROM sc"),
     "q47_id_lists": _pairs(f", {RATIO('prob', 'r')} SELECT s.s1, coalesce(string_agg(pool::VARCHAR, ',' ORDER BY pool), '') AS ids FROM s LEFT JOIN r ON r.s1 = s.s1 GROUP BY s.s1"),
     "q48_validator": _pairs(", l AS (SELECT DISTINCT s1 FROM p), i AS (SELECT s1, pool FROM p WHERE prob > 0.5), x AS (SELECT 'self_match' AS rule, s1 || ':' || pool AS what FROM i WHERE s1 = pool UNION ALL SELECT 'unknown_id', s1 || ':' || pool FROM i WHERE pool NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45) UNION ALL SELECT 'missing_s1', s1::VARCHAR FROM s WHERE s1 NOT IN (SELECT s1 FROM l) UNION ALL SELECT 'extra_s1', s1::VARCHAR FROM l WHERE s1 NOT IN (SELECT s1 FROM s)) SELECT rule, count(*) AS n, min(what) AS example FROM x GROUP BY rule"),
-    "q49_expansion": f"WITH {KEYS}, {_key_pairs(50, 'family = 0')}, k AS (SELECT id, is_s1, 'name' AS kind, country || '|' || array_to_string(list_sort(toks), ' ') AS key FROM part_rec UNION SELECT id, is_s1, 'addr', country || '|' || substr(name, 1, 4) FROM part_rec), g AS (SELECT kind, key FROM k WHERE NOT is_s1 GROUP BY ALL HAVING count(*) <= 20), f AS (SELECT a.id AS s1, b.id AS pool, max(CASE WHEN a.kind = 'addr' THEN 1 ELSE 0 END)::INTEGER AS by_addr FROM k a JOIN g USING (kind, key) JOIN k b ON b.kind = a.kind AND b.key = a.key AND a.is_s1 AND NOT b.is_s1 GROUP BY 1, 2), h AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.s1 = f.s1 AND kp.pool = f.pool)) SELECT * FROM (SELECT s1, pool, by_addr, row_number() OVER (PARTITION BY s1 ORDER BY by_addr DESC, pool)::INTEGER AS rank FROM h) t WHERE rank <= 5",
+    "q49_expansion": f"WITH {KEYS}, {_key_pairs(200)}, c AS (SELECT s1, pool, len(list_intersect(list_distinct(a.toks), list_distinct(b.toks))) / len(list_distinct(list_concat(a.toks, b.toks))) AS prob FROM kp JOIN part_rec a ON a.id = s1 JOIN part_rec b ON b.id = pool), seeds AS (SELECT id AS s1, id AS seed, 0 AS via FROM part_rec WHERE is_s1 UNION ALL SELECT s1, pool, 1 FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY prob DESC, s1) AS rn FROM c) t WHERE rn = 1 AND prob >= 0.7), k AS (SELECT id, is_s1, 'name' AS kind, country || '|' || array_to_string(list_sort(toks), ' ') AS key FROM part_rec UNION SELECT id, is_s1, 'addr', country || '|' || substr(name, 1, 4) FROM part_rec), g AS (SELECT kind, key FROM k WHERE NOT is_s1 GROUP BY ALL HAVING count(*) <= 20), f AS (SELECT x.s1, b.id AS pool, max(CASE WHEN a.kind = 'addr' THEN 1 ELSE 0 END)::INTEGER AS by_addr, min(via) AS via FROM seeds x JOIN k a ON a.id = x.seed JOIN g USING (kind, key) JOIN k b ON b.kind = a.kind AND b.key = a.key AND NOT b.is_s1 GROUP BY 1, 2), h AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.s1 = f.s1 AND kp.pool = f.pool)) SELECT * FROM (SELECT s1, pool, by_addr, row_number() OVER (PARTITION BY s1 ORDER BY by_addr DESC, via, pool)::INTEGER AS rank FROM h) t WHERE rank <= 20",
     "q50_cooccurrence": f"WITH {ENT}, w AS (SELECT list_distinct({PLAIN.format('name')}) AS a, list_distinct({PLAIN.format('addr')}) AS b FROM ent), u AS (SELECT unnest(a) AS x, b FROM w), f AS (SELECT x, count(*) AS fx FROM u GROUP BY x), c AS (SELECT x, y, count(*) AS n FROM (SELECT x, unnest(b) AS y FROM u) t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY n DESC, y) AS rn FROM c) SELECT r.x, y, n FROM r JOIN f USING (x) WHERE rn = 1 AND n >= 5 AND n >= 0.5 * fx",
     "q51_field_quality": f"WITH {ENT} SELECT source, country, round(avg(regexp_matches(name, '[0-9]')::INT), 6) AS digits, round(avg(regexp_matches(name, '[|#%&!]')::INT), 6) AS mark, round(avg(regexp_matches(name, '^[A-Z ]+$')::INT), 6) AS upper, round(median(len(string_split(name, ' '))), 6) AS words FROM ent GROUP BY ALL",
     "q52_contested": _pairs(f"SELECT s1, pool FROM p WHERE {BLEND} BETWEEN 0.3 AND 0.8"),

@@ -21,6 +21,8 @@ from kindred.sources import tables as src
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The reference's caps: candidates of a record, and pool records of a language that may share a term.
 TOP_K, MAX_DF = 12, 3000
+#: Of nearest vectors, of the union of passes, of a key's pool records, of new pairs; the least probability of a seed.
+VECTOR_K, UNION_CAP, KEY_CAP, NEW_PAIRS, SURE = 20, 25, 200, 20, 0.7
 TAUS = [round(0.01 * i, 2) for i in range(5, 96)]
 
 
@@ -127,9 +129,9 @@ def q13_nearest_vectors(s, d):  # noqa: ANN001, ANN201
 @query
 def q14_union_passes(s, d):  # noqa: ANN001, ANN201
     p = pairs(s, d)
-    a = bl.top_k(p.withColumnRenamed("prob", "score"), "s1", [F.desc("score"), F.asc("pool")], 3)
-    b = bl.top_k(p.withColumnRenamed("prob2", "score"), "s1", [F.desc("score"), F.asc("pool")], 3)
-    return bl.union_passes({"tok": a, "emb": b}, 4)
+    a = bl.top_k(p.withColumnRenamed("prob", "score"), "s1", [F.desc("score"), F.asc("pool")], TOP_K)
+    b = bl.top_k(p.withColumnRenamed("prob2", "score"), "s1", [F.desc("score"), F.asc("pool")], VECTOR_K)
+    return bl.union_passes({"tok": a, "emb": b}, UNION_CAP)
 
 
 def _keys(s: SparkSession, d: str) -> DataFrame:
@@ -142,7 +144,7 @@ def _keys(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def q15_key_pairs(s, d):  # noqa: ANN001, ANN201
-    return bl.key_pairs(_keys(s, d), 50)
+    return bl.key_pairs(_keys(s, d), KEY_CAP)
 
 
 @query
@@ -156,7 +158,7 @@ def q16_digit_deletion_pairs(s, d):  # noqa: ANN001, ANN201
 
 @query
 def q17_pair_bits(s, d):  # noqa: ANN001, ANN201
-    p = bl.key_pairs(_keys(s, d), 50)
+    p = bl.key_pairs(_keys(s, d), KEY_CAP)
     flag = lambda i: (F.shiftright("bits", i).bitwiseAND(F.lit(1))).cast("int")
     return p.groupBy(flag(0).alias("f_set"), flag(1).alias("f_pair"), flag(2).alias("f_glue")).agg(F.count("*").alias("n"))
 
@@ -373,9 +375,11 @@ def q48_validator(s, d):  # noqa: ANN001, ANN201
 def q49_expansion(s, d):  # noqa: ANN001, ANN201
     r = part_records(s, d)
     keys = r.select("id", "is_s1", F.lit("name").alias("kind"), "name", F.concat_ws("|", "country", F.array_join(F.array_sort("toks"), " ")).alias("key")).drop("name").unionByName(r.select("id", "is_s1", F.lit("addr").alias("kind"), F.concat_ws("|", "country", F.substring("name", 1, 4)).alias("key")))
-    seeds = r.where("is_s1").select(F.col("id").alias("s1"), F.col("id").alias("seed"))
-    none = bl.key_pairs(_keys(s, d).where("family = 0"), 50)
-    return bl.expand(seeds, keys, none, 20, 5).select("s1", "pool", "by_addr", "rank")
+    known = bl.key_pairs(_keys(s, d), KEY_CAP)
+    a, b = r.select(F.col("id").alias("s1"), F.col("toks").alias("ta")), r.select(F.col("id").alias("pool"), F.col("toks").alias("tb"))
+    sure = de.one_to_one(known.join(a, "s1").join(b, "pool").select("s1", "pool", sim.jaccard(F.col("ta"), F.col("tb")).alias("prob"))).where(F.col("prob") >= SURE)
+    seeds = r.where("is_s1").select(F.col("id").alias("s1"), F.col("id").alias("seed"), F.lit(0).alias("via")).unionByName(sure.select("s1", F.col("pool").alias("seed"), F.lit(1).alias("via")))
+    return bl.expand(seeds, keys, known, 20, NEW_PAIRS).select("s1", "pool", "by_addr", "rank")
 
 
 @query

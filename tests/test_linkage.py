@@ -240,3 +240,33 @@ def test_sweep_against_brute_force(spark, name):
     else:
         got = {r.country: (r.tau, r.macro_f05) for r in rows}
         assert got == {c: (min(t for t in x if x[t] == max(x.values())), pytest.approx(max(x.values()), abs=1.1e-6)) for c, x in curves.items() if c}
+
+
+def parts(spark, tmp_path, rows):
+    """A table of parts (id, name) of one brand; ids that 3 divides are of the first source."""
+    spark.createDataFrame([(i, n, "b") for i, n in rows], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_keys_of_many_records(spark, tmp_path):
+    # 120 pool records share the first name, 201 the second
+    pool = [i for i in range(1, 1000) if i % 3]
+    d = parts(spark, tmp_path, [(3, "amber bolt"), (6, "cedar dowel"), *[(i, "amber bolt") for i in pool[:120]], *[(i, "cedar dowel") for i in pool[120:321]]])
+    assert {tuple(r) for r in entry.queries()["q15_key_pairs"](spark, d).collect()} == {(3, i, 7) for i in pool[:120]}
+    assert [tuple(r) for r in entry.queries()["q17_pair_bits"](spark, d).collect()] == [(1, 1, 1, 120)]
+
+
+def test_expansion_through_matches(spark, tmp_path):
+    # 4 is the match of 3 (three of four words); 5 to 26 share only its first letters, 30 competes for no record
+    new = [i for i in range(5, 60) if i % 3][:15]
+    d = parts(spark, tmp_path, [(3, "amber bolt copper"), (4, "zinc amber bolt copper"), (30, "violet wax"), *[(i, f"zinc w{i}") for i in new]])
+    got = [tuple(r) for r in entry.queries()["q49_expansion"](spark, d).orderBy("s1", "rank").collect()]
+    assert got == [(3, i, 1, k) for k, i in enumerate(new, 1)]
+
+
+def test_union_of_long_passes(spark, tmp_path):
+    rows = [(1, i, float(50 - i), round(i / 300, 4), "N") for i in range(1, 41)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double, l_discount double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = entry.queries()["q14_union_passes"](spark, str(tmp_path)).collect()
+    # both passes rank records by their number
+    assert {r.pool: (r.tok_rank, r.emb_rank, r.best_rank) for r in got} == {i: (i if i <= 12 else 999, i, i) for i in range(1, 21)}
