@@ -1,6 +1,7 @@
 """Candidate generation: capped equality keys, rare-token cosine top-k, exact nearest neighbours, unions of passes.
 
-Country is a hard block and stands in every join key. Every cap is the operator's own rule (a term or key that too
+Country is a hard block and stands in every join key; records of a country without pool rows search the whole pool
+(searched). Every cap is the operator's own rule (a term or key that too
 many records share says nothing about identity), applied by frequency before the join, which bounds its output.
 """
 
@@ -21,7 +22,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def idf_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, country, term, w): L2-normalised idf weights of a record's kept terms; terms: (country, term, idf)."""
     rows = docs.select("id", "country", F.explode(F.array_distinct("toks")).alias("term")).join(terms, ["country", "term"])
-    norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(W.partitionBy("id"))) + 1e-6
+    norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(W.partitionBy("country", "id"))) + 1e-6
     return rows.select("id", "country", "term", (F.col("idf") / norm).alias("w"))
 
 
@@ -31,8 +32,23 @@ def rare_terms(pool: DataFrame, max_df: int) -> DataFrame:
     return term_counts(pool).where(F.col("df") <= max_df).join(F.broadcast(size), "country").select("country", "term", F.log1p(F.col("n") / F.col("df")).alias("idf"))
 
 
+#: The block of s1 records whose country has no pool row; no country has this name.
+WHOLE_POOL = "\0whole pool"
+
+
+def searched(s1: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with s1 records of a country that has no pool row moved to a block of the whole pool, which exists
+    only if there are any. A null country has no rows of its own."""
+    here = pool.where("country is not null").select(F.col("country").alias("_here")).distinct()
+    known = s1.join(F.broadcast(here), F.col("country") == F.col("_here"), "left")
+    moved = known.withColumn("country", F.when(F.col("_here").isNull(), F.lit(WHOLE_POOL)).otherwise(F.col("country"))).drop("_here")
+    needed = moved.where(F.col("country") == WHOLE_POOL).select(F.lit(1).alias("_any")).limit(1)
+    return moved, pool.unionByName(pool.crossJoin(F.broadcast(needed)).drop("_any").withColumn("country", F.lit(WHOLE_POOL)))
+
+
 def token_top_k(s1: DataFrame, pool: DataFrame, k: int, max_df: int) -> DataFrame:
     """(s1, pool, score, rank): the k most similar pool records by cosine over rare terms; ties to smaller ids."""
+    s1, pool = searched(s1, pool)
     terms = rare_terms(pool, max_df)
     a = idf_postings(s1, terms).select(F.col("id").alias("s1"), "country", "term", F.col("w").alias("wa"))
     b = idf_postings(pool, terms).select(F.col("id").alias("pool"), "country", "term", F.col("w").alias("wb"))
@@ -51,6 +67,7 @@ def exact_nearest(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096
     Pool records are dealt into blocks of about `block` within their country and queries go to each; a task
     multiplies matrices and gives k rows a query and block, so pairs are never emitted.
     """
+    queries, pool = searched(queries, pool)
     size = pool.groupBy("country").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     parts = pool.join(F.broadcast(size), "country").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     asks = queries.join(F.broadcast(size), "country").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

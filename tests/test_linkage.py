@@ -270,3 +270,20 @@ def test_union_of_long_passes(spark, tmp_path):
     got = entry.queries()["q14_union_passes"](spark, str(tmp_path)).collect()
     # both passes rank records by their number
     assert {r.pool: (r.tok_rank, r.emb_rank, r.best_rank) for r in got} == {i: (i if i <= 12 else 999, i, i) for i in range(1, 21)}
+
+
+def test_country_without_pool_rows(spark, tmp_path):
+    rows = [(1, "only one harbor", "fr", True), (2, "harbor tools", "en", True), (3, "harbor tools", "en", False), (4, "only one", "de", False), (5, "nova group", "de", False)]
+    d = documents(spark, tmp_path, rows)
+    got = [(r.s1, r.pool, r["rank"]) for r in entry.queries()["q12_token_top_k"](spark, d).orderBy("s1", "rank").collect()]
+    assert got == [(1, 4, 1), (1, 3, 2), (2, 3, 1)]
+    score = lambda n, df: math.log1p(n / df)
+    norm = math.sqrt(sum(score(3, 1) ** 2 for _ in range(3))) + 1e-6  # only, one, harbor: each in one of three pool records
+    first = entry.queries()["q12_token_top_k"](spark, d).where("s1 = 1 and pool = 4").first()
+    assert first.score == pytest.approx(2 * score(3, 1) ** 2 / norm / (math.sqrt(2 * score(3, 1) ** 2) + 1e-6), abs=2e-6)
+
+    vectors = [(10, "7", [1.0, 0.0]), (20, "1", [0.0, 1.0]), (1, "1", [0.6, 0.8]), (2, "2", [0.8, 0.6]), (3, None, [0.0, 1.0]), (30, None, [0.0, 1.0])]
+    v = spark.createDataFrame(vectors, "id long, country string, v array<double>")
+    own = F.col("id") % 10 == 0
+    near = blocking.exact_nearest(v.where(own), v.where(~own), 5, block=2).orderBy("s1", "rank").collect()
+    assert [(r.s1, r.pool, r["rank"]) for r in near] == [(10, 2, 1), (10, 1, 2), (10, 3, 3), (20, 1, 1), (30, 3, 1), (30, 1, 2), (30, 2, 3)]
