@@ -78,7 +78,7 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     return part.withColumn("loss", loss).agg(F.round(F.sum("won") / (F.sum("pos") * (F.sum("n") - F.sum("pos"))), 6).alias("auc"), F.round(F.sum("loss") / F.sum("n"), 6).alias("log_loss"))
 
 
-def bootstrap(scored: DataFrame, rounds: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap(scored: DataFrame, rounds: int = 1000, seed: int = 7) -> DataFrame:
     """(low, high): 95 % interval of the macro F0.5 by Poisson resampling with hashed, repeatable weights."""
     u = F.pmod(F.xxhash64("s1", "round", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
     weight = sum((F.when(u >= t, 1).otherwise(0) for t in (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)), F.lit(0))

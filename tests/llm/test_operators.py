@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -307,3 +308,83 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in kept.select("doc_id").collect()}
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not [r for r in kept.collect() if any(b in r.text for b in bench)]
+
+
+def bag(text):
+    """Features of a text's passages, byte by byte."""
+    data = text.encode()
+    fine, runs = (np.zeros((max(1, -(-len(data) // quality.PASSAGE)), n)) for n in (quality.FINE, 512))
+    for i, b in enumerate(data):
+        fine[i // quality.PASSAGE, quality._FINE[b]] += 1
+        if i + 2 < len(data):
+            a, b, c = (int(quality._COARSE[x]) for x in data[i : i + 3])
+            runs[i // quality.PASSAGE, a * 64 + b * 8 + c] += 1
+    return np.sqrt(np.concatenate([fine, runs], 1) / np.maximum(1, fine.sum(1, keepdims=True))).astype(np.float32)
+
+
+def covered(doc, item, least=5):
+    """Words of an item under greedy tiles: the longest common run of free words is marked, again and again."""
+    free_doc, free_item, total = [True] * len(doc), [True] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and doc[d + n] == item[i + n] and free_doc[d + n] and free_item[i + n]:
+                    n += 1
+                best = max(best, (n, -i, -d))
+        n, i, d = best[0], -best[1], -best[2]
+        if n < least:
+            return total
+        total += n
+        free_doc[d : d + n] = free_item[i : i + n] = [False] * n
+
+
+def test_pipeline_against_plain_python(spark):
+    docs_of = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    y = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality is not None}
+    seen = sorted(i for i in y if i in docs_of and zlib.crc32(str(i).encode()) % 4 != 2)
+    bags = {i: bag(t) for i, t in docs_of.items()}
+    model = quality.fit_bags([bags[i] for i in seen], np.array([y[i] for i in seen], np.float32))
+    kept = {i: t for i, t in docs_of.items() if model.scores(bags[i], np.array([0, len(bags[i])]))[0] >= 0.7}
+
+    key = lambda x: x.encode().strip(lines.BLANK).lower()
+    count = Counter(k for t in kept.values() for k in {key(x) for x in t.split("\n")} - {b""})
+    kept = {i: "\n".join(x for x in t.split("\n") if count[key(x)] < 10) for i, t in kept.items()}
+
+    sets = {i: {" ".join(p[k : k + 5]) for k in range(max(1, len(p) - 4))} if (p := t.lower().split()) else set() for i, t in kept.items()}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    kept = {i: t for i, t in kept.items() if group[i] == i}
+
+    words = lambda t: re.findall("[0-9a-z\u0080-\U0010ffff]+", t.lower())
+    seeds = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    bench = [words(r.text or "") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leak = lambda doc: any(seeds(doc) & seeds(b) and covered(doc, b) >= 0.8 * len(b) for b in bench)
+    kept = {i: t for i, t in kept.items() if not leak(words(t))}
+
+    tok = PieceTokenizer(tokenizer_path(), 2).tokenizer
+    stream = []
+    for i, t in kept.items():
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        stream.append((int(packing.curve_keys(np.array(ids), np.array([0, len(ids)]), packing.projection_table(65_536))[0]), i, ids))
+    total = sum(len(ids) for *_, ids in stream)
+    ends = list(range(4096, total + 1, 4096))
+    for b in range(11, -1, -1):
+        if total - (ends[-1] if ends else 0) >= 1 << b:
+            ends.append((ends[-1] if ends else 0) + (1 << b))
+    expect, here, seq = [], 0, 0
+    for _, i, ids in sorted(stream):
+        start = 0
+        while start < len(ids):
+            n = min(len(ids) - start, ends[seq] - here)
+            expect.append((i, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes()), len(ids), seq, here - (ends[seq - 1] if seq else 0)))
+            start, here = start + n, here + n
+            seq += here == ends[seq]
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
+    assert 0 < len(kept) < len(docs_of)
+    assert sorted(map(tuple, got)) == sorted(expect)

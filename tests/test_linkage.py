@@ -4,10 +4,13 @@ import itertools
 import math
 import os
 import random
+import struct
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -287,3 +290,19 @@ def test_country_without_pool_rows(spark, tmp_path):
     own = F.col("id") % 10 == 0
     near = blocking.exact_nearest(v.where(own), v.where(~own), 5, block=2).orderBy("s1", "rank").collect()
     assert [(r.s1, r.pool, r["rank"]) for r in near] == [(10, 2, 1), (10, 1, 2), (10, 3, 3), (20, 1, 1), (30, 3, 1), (30, 1, 2), (30, 2, 3)]
+
+
+def test_bootstrap_of_a_thousand_rounds(spark):
+    scores = {i: (i * 37 % 11) / 11 for i in range(1, 41)}
+    means = []
+    for k in range(1, 1001):
+        weights = []
+        for i in scores:
+            h = 42
+            for raw in (struct.pack("<q", i), struct.pack("<i", k), struct.pack("<i", 7)):
+                h = xxhash.xxh64_intdigest(raw, seed=h)
+            u = (h - (h >> 63 << 64)) % 1_000_003 / 1_000_003
+            weights.append(sum(u >= t for t in (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)))
+        means.append(np.dot(weights, list(scores.values())) / sum(weights))
+    got = evaluate.bootstrap(spark.createDataFrame(list(scores.items()), "s1 long, f05 double")).first()
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-9)
