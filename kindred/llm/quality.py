@@ -7,7 +7,8 @@ passages matter is learned from those labels alone.
 
 Fitting: on at most `most_per_class` labelled documents of each class (a documented bound; those with the
 smallest hash of the id), in one task, whole texts, seeded, so the same rows give the same model. Scoring covers
-every passage of every document. Labels, language, source and id are no inputs of a score.
+every passage of every document. Labels, language, source and id are no inputs of
+a score, nor are the texts beside it: it is a function of the text and the model, to the last bit.
 
 Rows: a null or empty text is one passage of nothing and gets a score like any other. Labels that repeat an id
 count once, as the largest. A label without a document, or null, is left out. Without labels, or with one class
@@ -17,7 +18,7 @@ only, every score is the share of good labels (0.5 without any). An empty table
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,33 +57,44 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     fine = np.bincount(own * FINE + _FINE[data], minlength=at[-1] * FINE).reshape(-1, FINE)
     kind = _COARSE[data]
     runs = kind[:-2] * 64 + kind[1:-1] * 8 + kind[2:]
-    runs = np.bincount(own[:-2] * 512 + runs, minlength=at[-1] * 512).reshape(-1, 512)
+    row = np.repeat(np.arange(len(size)), size)
+    inside = row[:-2] == row[2:]  # a run of three ends with its text
+    runs = np.bincount((own[:-2] * 512 + runs)[inside], minlength=at[-1] * 512).reshape(-1, 512)
     total = np.maximum(1, fine.sum(1, keepdims=True))
     return np.sqrt(np.concatenate([fine, runs], 1) / total).astype(np.float32), at
 
 
+def _grid(x: np.ndarray) -> np.ndarray:
+    """Multiples of 2**-18 as doubles: sums of some thousand products of such numbers under 16 are exact, in whatever
+    order a library adds them."""
+    return np.round(np.asarray(x, np.float64) * 2**18) / 2**18
+
+
 class Model:
     """Parameters by name; a model without parameters scores `prior` always."""
 
     def __init__(self, prior: float, weights: dict[str, np.ndarray] | None = None):
-        self.prior, self.w = prior, weights
+        self.prior, self.w, self.on_grid = prior, weights, {}
 
-    def forward(self, x: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-        w = self.w
-        h = np.tanh((x - w["mean"]) @ w["enc"] + w["enc0"])
+    def forward(self, x: np.ndarray, at: np.ndarray, w: dict[str, np.ndarray], grid: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> dict[str, np.ndarray]:
+        h = grid(np.tanh((x - w["mean"]) @ w["enc"] + w["enc0"]))
         tanh, gate = np.tanh(h @ w["att_v"]), 1 / (1 + np.exp(-np.clip(h @ w["att_u"], -30, 30)))
-        e = (tanh * gate) @ w["att"]
+        e = grid(tanh * gate) @ w["att"]
         own = np.repeat(np.arange(len(at) - 1), np.diff(at))
         e = np.exp(e - np.maximum.reduceat(e, at[:-1])[own])
         a = e / np.add.reduceat(e, at[:-1])[own]
         z = np.add.reduceat(a[:, None] * h, at[:-1], axis=0)
-        p = 1 / (1 + np.exp(-np.clip(z @ w["out"] + w["out0"], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip((z * w["out"]).sum(1) + w["out0"], -30, 30)))
         return {"h": h, "tanh": tanh, "gate": gate, "a": a, "own": own, "z": z, "p": p}
 
     def scores(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """One score a text. Features, weights and codes are taken on a grid, so that a score does not depend on
+        what is scored beside it."""
         if self.w is None:
             return np.full(len(at) - 1, self.prior)
-        return self.forward(x, at)["p"].astype(np.float64)
+        if not self.on_grid:
+            self.on_grid = {k: _grid(v) for k, v in self.w.items()}
+        return self.forward(_grid(x), at, self.on_grid, _grid)["p"]
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -115,7 +127,7 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int
             pick = order[i : i + batch]
             x = np.concatenate([bags[k] for k in pick])
             at = np.concatenate([[0], np.cumsum([len(bags[k]) for k in pick])])
-            s = model.forward(x, at)
+            s = model.forward(x, at, w)
             d = (s["p"] - y[pick]) * weight[pick] / len(pick)
             g = {"out": s["z"].T @ d, "out0": d.sum()}
             dz = d[:, None] * w["out"]
