@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,23 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path not used before, under the shared folder."""
-    return f"{shared_root(spark)}/kindred-{label}-{uuid.uuid4().hex}"
+    """A path not used before, under this application's folder in the shared one, which goes when the driver ends."""
+    home = f"{shared_root(spark)}/kindred-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), home)
+    return f"{home}/{label}-{uuid.uuid4().hex}"
+
+
+_homes: set[str] = set()
+
+
+def _delete(jvm, conf, path: str) -> None:  # noqa: ANN001
+    try:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(conf).delete(hadoop, True)
+    except (Py4JError, OSError):  # at exit the JVM may be gone already
+        pass
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,23 +69,20 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stage_path = path  # type: ignore[attr-defined]
-    release(spark)
     return back
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete a stage table that nothing reads any more."""
-    spark, path = df.sparkSession, df.stage_path  # type: ignore[attr-defined]
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    spark = df.sparkSession
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), df.stage_path)  # type: ignore[attr-defined]
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs now, not when the driver next collects garbage."""
-    for _ in range(2):  # what the first round finds unreachable, the cleaner drops meanwhile
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.25)
+    """Let Spark's cleaner drop shuffle files of finished jobs now, not when the driver next collects garbage: after
+    a shuffle of the size of the input."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,12 +156,3 @@ def range_bounds(keys: DataFrame, columns: list[str], parts: int, sample_per_par
         return []
     cuts = [rows[len(rows) * i // parts] for i in range(1, parts)]
     return sorted(set(cuts))
-
-
-def range_part(columns: list[Column], bounds: list[tuple]) -> Column:
-    """The number of the range that a row falls in: how many cuts are not above it."""
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f"k{i}") for i, v in enumerate(b)]) for b in bounds])
-    here = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)])
-    return F.size(F.filter(cuts, lambda c: c <= here))
