@@ -9,7 +9,9 @@ have no checksum, need a context word; a national phone number inside a base pho
 
 Positions: splitting a text by a pattern gives what lies between its matches; lengths of both, added up, give each
 match's place in code points. The patterns take whole runs possessively and start only where a run starts, so each
-reads a text once, however long its runs are; they match what the plain patterns match.
+reads a text once, however long its runs are; they match what the plain patterns match. Places are added up in lots
+(running), and what stands around a span is read from the text's pieces, so that neither grows with the
+square of a text's matches nor walks the text from its start for each.
 
 Rows: a null or empty text has no spans. Null ids and repeated rows are kept as they are. An empty table gives
 no rows.
@@ -17,9 +19,7 @@ no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -50,120 +50,132 @@ THRESHOLD = 0.5
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 
 
-def _digits(what: Column) -> Column:
-    return F.regexp_replace(what, "[^0-9]", "")
+#: Matches that are placed in one lot, and characters of a piece of text.
+LOT, PIECE = 128, 1024
+SPAN = "struct<start:int,end:int,what:string>"
+NONE = f"cast(array() as array<{SPAN}>)"
 
 
-def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes Luhn's check."""
+# Expressions are written as SQL: a tree of this size, built call by call, takes the driver seconds.
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(F.reverse(digits), i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return total + F.when(i % 2 == 0, twice).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
+def let(name: str, value: str, use: str) -> str:
+    """use with name standing for value, which is worked out once: inside a lambda it would be for each element."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
 
 
-def mod97(what: Column) -> Column:
-    """Whether an account number, blanks aside, leaves 1: its first four characters go last, letters count 10 to 35."""
-    plain = F.replace(what, F.lit(" "), F.lit(""))
-    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+def running(items: str, zero: str, after: str, out: str) -> str:
+    """array<SPAN>: a fold over items that gives something for each. after and out are the next state and an array of
+    what comes out, of the state t.state and the item x. A fold copies what it has gathered at every step, so it
+    gathers lots, and then the lots."""
+    lot = f"aggregate(part, named_struct('state', s.state, 'out', {NONE}), (t, x) -> named_struct('state', {after}, 'out', concat(t.out, {out})))"
+    add = let("r", lot, "named_struct('state', r.state, 'out', concat(s.out, array(r.out)))")
+    parts = f"transform(sequence(0, cast((size(given) - 1) div {LOT} as int)), i -> slice(given, i * {LOT} + 1, {LOT}))"
+    lots = f"flatten(aggregate({parts}, named_struct('state', {zero}, 'out', cast(array() as array<array<{SPAN}>>)), (s, part) -> {add}, s -> s.out))"
+    return let("given", items, f"if(size(given) > 0, {lots}, {NONE})")
+
 
-    def add(rest: Column, i: Column) -> Column:
-        c = F.ascii(F.substring(turned, i, F.lit(1)))
-        return F.when(c >= 65, (rest * 100 + c - 55) % 97).otherwise((rest * 10 + c - 48) % 97).cast("int")
+def matches(pattern: str) -> str:
+    """array<SPAN> of a pattern's matches in column text, in code points, end exclusive."""
+    both = f"zip_with(m, slice(split(text, r'{pattern}', -1), 1, size(m)), (w, g) -> named_struct('what', w, 'gap', g))"
+    end = "t.state + length(x.gap) + length(x.what)"
+    placed = running(both, "0", end, f"array(named_struct('start', t.state + length(x.gap), 'end', {end}, 'what', x.what))")
+    return let("m", f"regexp_extract_all(text, r'{pattern}', 0)", f"if(size(m) > 0, {placed}, {NONE})")
 
-    return F.length(plain).between(15, 34) & (F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1)
 
+def around(start: str, length: str) -> str:
+    """length (under a piece) characters of the text from start (from 0) on, fewer at its end, read from the row's
+    column pieces: the text itself would be walked from its beginning."""
+    two = f"concat(get(pieces, cast(({start}) div {PIECE} as int)), coalesce(get(pieces, cast(({start}) div {PIECE} as int) + 1), ''))"
+    return f"if(({length}) > 0, coalesce(substring({two}, ({start}) % {PIECE} + 1, {length}), ''), '')"
 
-def account_numbers(text: Column, heads: Column) -> Column:
-    """array<struct<start, end, what>> of the account numbers that start at heads, none over another. Every length
-    that ends with a word is held against the checksum; the country's own goes first, then the longest."""
-    none = F.array().cast("array<struct<start:int,end:int,what:string>>")
 
-    def number(x: Column) -> Column:
-        tail = F.substring(text, x["start"] + 1, F.lit(2 * 34))
-        of = {n: F.regexp_extract(tail, IBAN_OF % (n - 1), 0) for n in range(34, 14, -1)}
-        own = [F.when(F.substring(x["what"], 1, 2).isin(c.split()), of[n]).otherwise("") for n, c in IBAN_LENGTHS.items()]
-        return F.get(F.filter(F.array(F.array_max(F.array(*own)), *of.values()), lambda w: (w != "") & mod97(w)), F.lit(0))
+def digits(what: str) -> str:
+    return f"regexp_replace({what}, '[^0-9]', '')"
 
-    def add(spans: Column, x: Column) -> Column:
-        free = x["what"].isNotNull() & ~F.exists(spans, lambda s: s["end"] > x["start"])
-        return F.when(free, F.concat(spans, F.array(x))).otherwise(spans)
 
-    tried = F.transform(F.transform(heads, lambda x: F.struct(x["start"].alias("start"), number(x).alias("what"))), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["what"])).alias("end"), x["what"].alias("what")))
-    return F.when(F.size(heads) > 0, F.aggregate(tried, none, add)).otherwise(none)
+def luhn(number: str) -> str:
+    """Whether a string of digits passes Luhn's check."""
+    d = "cast(substring(turned, i, 1) as int)"
+    total = f"aggregate(sequence(1, length(turned)), 0, (sum, i) -> sum + if(i % 2 = 1, {d}, if({d} > 4, 2 * {d} - 9, 2 * {d})))"
+    return let("turned", f"reverse({number})", f"{total} % 10 = 0")
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, what>> of a pattern's matches, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("what"), g.alias("gap")))
-    none = F.array().cast("array<struct<start:int,end:int,what:string>>")
+def mod97(what: str) -> str:
+    """Whether an account number, blanks aside, leaves 1: its first four characters go last, letters count 10 to 35."""
+    c = "ascii(substring(turned, i, 1))"
+    rest = f"aggregate(sequence(1, length(turned)), 0, (rest, i) -> cast(if({c} >= 65, (rest * 100 + {c} - 55) % 97, (rest * 10 + {c} - 48) % 97) as int))"
+    whole = let("turned", "concat(substring(plain, 5), substring(plain, 1, 4))", f"{rest} = 1")
+    return let("plain", f"replace({what}, ' ', '')", f"length(plain) between 15 and 34 and {whole}")
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["what"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["what"].alias("what")))).alias("spans"))
 
-    placed = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda s: s["spans"])
-    return F.when(F.size(found) > 0, placed).otherwise(none)
+def account_numbers(heads: str) -> str:
+    """array<SPAN> of the account numbers that start at heads, none over another. Every length that ends with a word
+    is held against the checksum; the country's own goes first, then the longest."""
+    of = {n: f"regexp_extract(tail, r'{IBAN_OF % (n - 1)}', 0)" for n in range(34, 14, -1)}
+    own = " ".join(f"when substring(h.what, 1, 2) in ({', '.join(repr(c) for c in countries.split())}) then {of[n]}" for n, countries in IBAN_LENGTHS.items())
+    number = let("tail", around("h.start", "68"), f"get(filter(array(case {own} else '' end, {', '.join(of.values())}), w -> w <> '' and {mod97('w')}), 0)")
+    tried = f"transform({heads}, h -> {let('w', number, "named_struct('start', h.start, 'end', h.start + length(w), 'what', w)")})"
+    free = "x.what is not null and x.start >= t.state"
+    return running(tried, "0", f"if({free}, x.end, t.state)", f"if({free}, array(x), {NONE})")
 
 
-def _near(text: Column, start: Column, words: str) -> Column:
-    """1 if one of the words stands in the characters before a span, else 0."""
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), start - NEAR + 1), F.least(F.lit(NEAR), start)))
-    return F.when((start > 0) & before.rlike(words), 1.0).otherwise(0.0)
+def near(words: str) -> str:
+    """1 if one of the words stands in the characters before span x, else 0."""
+    before = f"lower({around(f'greatest(0, x.start - {NEAR})', f'least({NEAR}, x.start)')})"
+    return f"if(x.start > 0 and {before} rlike '{words}', 1.0D, 0.0D)"
 
 
-def _bare(text: Column, x: Column, kind: str) -> Column:
-    """No character of the kind right before or after a span."""
-    before = F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1))).otherwise("")
-    after = F.substring(text, x["end"] + 1, F.lit(1))
-    return ~before.rlike(kind) & ~after.rlike(kind)
+def bare(kind: str) -> str:
+    """No character of the kind right before or after span x."""
+    before = f"if(x.start > 0, {around('x.start - 1', '1')}, '')"
+    return f"not {before} rlike '{kind}' and not {around('x.end', '1')} rlike '{kind}'"
 
 
-def _scored(kind: str, spans: Column, base: bool, keep: Callable[[Column], Column], score: Callable[[Column], Column]) -> Column:
-    return F.transform(F.filter(spans, keep), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score"), F.lit(base).alias("base")))
+def _scored(kind: str, spans: str, base: bool, keep: str = "true", score: str = "1.0D") -> str:
+    return f"transform(filter({spans}, x -> {keep}), x -> named_struct('kind', '{kind}', 'start', x.start, 'end', x.end, 'score', {score}, 'base', {base}))"
 
 
-def find_spans(text: Column, likely: Column) -> dict[str, Column]:
-    """Scored spans of each proposal: array<struct<kind, start, end, score, base>>; text must not be null."""
-    none = F.array().cast("array<struct<start:int,end:int,what:string>>")
-    if_digits = lambda p: F.when(likely, matches(text, p)).otherwise(none)
-    length = lambda x: F.length(_digits(x["what"]))
-    one = lambda x: F.lit(1.0)
+def proposals() -> dict[str, str]:
+    """Scored spans of each proposal, array<struct<kind, start, end, score, base>>, of columns text (not null),
+    likely and pieces."""
+    where = lambda condition, pattern: f"if({condition}, {matches(pattern)}, {NONE})"
+    if_digits = lambda pattern: where("likely", pattern)
+    long = lambda lo, hi: f"length({digits('x.what')}) between {lo} and {hi}"
     return {
-        "email": _scored("email", F.when(F.contains(text, F.lit("@")), matches(text, EMAIL)).otherwise(none), True, lambda x: F.lit(True), one),
-        "ip": _scored("ip", if_digits(IP), True, lambda x: x["what"].rlike(rf"^{PART}(\.{PART}){{3}}$"), one),
-        "card": _scored("card", if_digits(CARD), True, lambda x: length(x).between(16, 19) & luhn(_digits(x["what"])), one),
-        "phone": _scored("phone", F.when(F.contains(text, F.lit("+")), matches(text, PHONE)).otherwise(none), True, lambda x: length(x).between(8, 15), one),
-        "iban": _scored("iban", account_numbers(text, if_digits(IBAN)), False, lambda x: F.lit(True), lambda x: 0.7 + 0.3 * _near(text, x["start"], IBAN_WORDS)),
-        "ssn": _scored("ssn", if_digits(SSN), False, lambda x: _bare(text, x, "[A-Za-z0-9-]") & ~x["what"].rlike("^(000|666|9)|-00-|-0000$"), lambda x: 0.2 + 0.5 * _near(text, x["start"], SSN_WORDS)),
-        "national": _scored("phone", if_digits(NATIONAL), False, lambda x: _bare(text, x, "[0-9+]"), lambda x: 0.2 + 0.5 * _near(text, x["start"], PHONE_WORDS)),
+        "email": _scored("email", where("contains(text, '@')", EMAIL), True),
+        "ip": _scored("ip", if_digits(IP), True, rf"x.what rlike r'^{PART}(\.{PART}){{3}}$'"),
+        "card": _scored("card", if_digits(CARD), True, f"{long(16, 19)} and {luhn(digits('x.what'))}"),
+        "phone": _scored("phone", where("contains(text, '+')", PHONE), True, long(8, 15)),
+        "iban": _scored("iban", account_numbers(if_digits(IBAN)), False, score=f"0.7D + 0.3D * {near(IBAN_WORDS)}"),
+        "ssn": _scored("ssn", if_digits(SSN), False, f"{bare('[A-Za-z0-9-]')} and not x.what rlike '^(000|666|9)|-00-|-0000$'", f"0.2D + 0.5D * {near(SSN_WORDS)}"),
+        "national": _scored("phone", if_digits(NATIONAL), False, bare("[0-9+]"), f"0.2D + 0.5D * {near(PHONE_WORDS)}"),
     }
 
 
+def outside() -> str:
+    """Base and proposed phone spans in order, without proposed ones that overlap a base one. Neither kind overlaps
+    its own, and a base span of 15 digits meets two proposed ones of ten at most, so three neighbours decide."""
+    reaching = f"filter(national, x -> x.score >= {THRESHOLD})"
+    over = [let("y", f"if(i + {by} >= 0, get(every, i + {by}), null)", "coalesce(y.base and y.start < x.end and x.start < y.end, false)") for by in (-3, -2, -1, 1, 2)]
+    kept = f"filter(every, (x, i) -> x.base or not ({' or '.join(over)}))"
+    return f"if(size(national) > 0, {let('every', f'array_sort(concat(phone, {reaching}), (a, b) -> a.start - b.start)', kept)}, phone)"
+
+
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, and spans array<struct<kind, start, end, score, base>>, ordered by kind as
     listed, then start."""
     source = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("likely", F.col("text").rlike("[0-9]") & F.col("text").rlike(LIKELY))
-    s = find_spans(F.col("text"), F.col("likely"))
-    found = source.select("doc_id", *[c.alias(k) for k, c in s.items()])
-    reach = lambda c: F.filter(c, lambda x: x["score"] >= THRESHOLD)
-    outside = F.filter(reach(F.col("national")), lambda x: ~F.exists("phone", lambda p: (p["start"] < x["end"]) & (x["start"] < p["end"])))
-    phones = F.when(F.size(outside) > 0, F.array_sort(F.concat("phone", outside), lambda a, b: a["start"] - b["start"])).otherwise(F.col("phone"))
-    return found.select("doc_id", F.concat("email", "ip", "card", phones, reach(F.col("iban")), reach(F.col("ssn"))).alias("spans"))
+    # a Generate stands between, so that the pieces are cut once a row and not for each place that is read
+    cut = f"explode(array(if(likely, regexp_extract_all(text, r'(?s).{{1,{PIECE}}}', 0), cast(array() as array<string>)))) as pieces"
+    found = source.selectExpr("*", cut).selectExpr("doc_id", *[f"{c} as {k}" for k, c in proposals().items()])
+    reach = lambda c: f"filter({c}, x -> x.score >= {THRESHOLD})"
+    return found.selectExpr("doc_id", f"concat(email, ip, card, {outside()}, {reach('iban')}, {reach('ssn')}) as spans")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, counts of the base spans, base_sha256, and all spans as kind:start:end, comma-joined."""
-    line = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
-    base = F.filter("spans", lambda x: x["base"])
-    of = lambda k: F.filter(base, lambda x: x["kind"] == k)
-    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    joined = lambda a: F.array_join(F.transform(a, line), ",")
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    joined = lambda a: f"array_join(transform({a}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+    counts = [f"cast(size(filter(spans, x -> x.base and x.kind = '{k}')) as long) as n_{k}" for k in KINDS[:4]]
+    return found.selectExpr("doc_id", *counts, f"sha2(cast({joined('filter(spans, x -> x.base)')} as binary), 256) as base_sha256", f"{joined('spans')} as spans")
