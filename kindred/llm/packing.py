@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from kindred.llm import shared as S
 from kindred.llm import textkernel as K
-from kindred.llm.shards import tokenized
-from kindred.llm.tokens import crc32
+from kindred.llm.shards import id_type, tokenized
+from kindred.llm.tokens import crc32, tokenizer
 
 DIMENSIONS, BITS = 4, 8
 _NORMAL = np.array([0.5 * (1 + erf(x / 2**0.5)) for x in np.linspace(-4, 4, 4097)])
@@ -79,10 +79,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     spark = docs.sparkSession
-    parts = S.partitions(spark)
+    parts, narrow = S.partitions(spark), id_type(tokenizer_path, end_id)
+    vocabulary = max(65_536, tokenizer(tokenizer_path, end_id).tokenizer.get_vocab_size(), end_id + 1)
 
     source = S.documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID)))
-    table = S.stage_table(tokenized(source, tokenizer_path, end_id, lambda doc, ids, at: curve_keys(ids, at, projection_table(65_536))), "pack")
+    table = S.stage_table(tokenized(source, tokenizer_path, end_id, lambda doc, ids, at: curve_keys(ids, at, projection_table(vocabulary))), "pack")
     bounds = S.range_bounds(table.select("key", "doc_id"), ["key", "doc_id"], parts)
     cut_keys, cut_docs = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
 
@@ -116,7 +117,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
         here = None
         for b in batches:
             data, off = S.byte_column(b, "ids")
-            ids, at = data.view("<u2"), off // 2
+            ids, at = data.view(narrow), off // narrow.itemsize
             if here is None and b.num_rows:
                 here = before[b.column("part")[0].as_py()]
             rows: list[tuple] = []

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,25 +41,28 @@ INDEX_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, key: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], key_type: str = "long") -> DataFrame:
-    """(key, doc_id, n_tokens, ids): each text's ids as little-endian integers, 16 bits wide (all vocabularies
-    under 65,536 ids) so that they move in half the bytes. key gets the document ids, all rows' ids and their
+    """(key, doc_id, n_tokens, ids): each text's ids as little-endian integers of id_type(), 16 bits wide for
+    vocabularies under 65,536 ids, so that they move in half the bytes. key gets the document ids, all rows' ids and their
     offsets: it is taken in the same worker, as a second one beside it would double the memory."""
-    kind = pa.int64() if key_type == "long" else pa.int32()
+    kind, narrow = pa.int64() if key_type == "long" else pa.int32(), id_type(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, end_id)
-        if tok.tokenizer.get_vocab_size() > 65_536:
-            raise ValueError("ids do not fit 16 bits")
         for batch in batches:
             data, off = S.byte_column(batch, "text")
             for i, j in S.chunks(off, S.CHUNK):
                 ids, at = tok.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                doc, short = batch.column("doc_id").slice(i, j - i), ids.astype("<u2")
-                yield pa.record_batch([pa.array(key(doc.to_numpy(), short, at), kind), doc, pa.array(np.diff(at)), S.binary_array(short.view(np.uint8), at * 2)], names=["key", "doc_id", "n_tokens", "ids"])
+                doc, short = batch.column("doc_id").slice(i, j - i), ids.astype(narrow)
+                yield pa.record_batch([pa.array(key(doc.to_numpy(), short, at), kind), doc, pa.array(np.diff(at)), S.binary_array(short.view(np.uint8), at * narrow.itemsize)], names=["key", "doc_id", "n_tokens", "ids"])
 
     return docs.mapInArrow(S.trimmed(run), f"key {key_type}, doc_id long, n_tokens long, ids binary")
 
 
+def id_type(path: str, end_id: int) -> np.dtype:
+    """The narrowest type that holds a vocabulary's ids and the end id."""
+    return np.dtype("<u2" if max(tokenizer(path, end_id).tokenizer.get_vocab_size() - 1, end_id) < 65_536 else "<u4")
+
+
 class Writer:
     """Writes one file frame by frame; holds one frame's documents in memory."""
 
@@ -70,9 +74,7 @@ class Writer:
         self.zip = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.frame_bytes, self.held, self.size = frame_bytes, [], 0
         self.table: list[bytes] = []
-        self.ids: list[int] = []
-        self.counts: list[int] = []
-        self.frames: list[int] = []
+        self.ids, self.counts, self.frames = array("q"), array("q"), array("q")
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         self.ids.append(doc_id)
@@ -93,7 +95,7 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        index = np.array([self.ids, self.counts, self.frames], "<i8").tobytes()
+        index = b"".join(np.frombuffer(x, np.int64).astype("<i8").tobytes() for x in (self.ids, self.counts, self.frames))
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         table = b"".join([*self.table, struct.pack("<III", len(index) + 8, 0, 0)])
         foot = struct.pack("<IBI", len(self.table) + 1, 0x80, FOOT_MAGIC)
@@ -134,7 +136,7 @@ class Reader:
         hit = np.ones(len(self.doc_ids), bool) if wanted is None else np.isin(self.doc_ids, np.array(sorted(wanted), np.int64))
         for k in np.unique(self.frame_of[hit]):
             ids, at = self.frame(int(k)), 0
-            for row in np.flatnonzero(self.frame_of == k):
+            for row in range(*np.searchsorted(self.frame_of, [k, k + 1]).tolist()):  # frames ascend
                 n = int(self.counts[row])
                 if hit[row]:
                     yield int(row), int(self.doc_ids[row]), ids[at : at + n]
@@ -144,15 +146,18 @@ class Reader:
         self.file.close()
 
 
-def write(docs: DataFrame, folder: str, path: str, end_id: int, level: int = 3, frame_bytes: int = 1 << 20) -> list[tuple[str, int, int, int]]:
+def write(docs: DataFrame, folder: str, path: str, end_id: int, level: int = 3, frame_bytes: int = 1 << 20, file_bytes: int = 1 << 28) -> list[tuple[str, int, int, int]]:
     """Write the texts' ids below folder; the files in order of document id: (uri, documents, tokens, tokens before).
 
-    Documents are dealt by ranges of their id, each range one file. Only the list of files reaches the driver.
+    Documents are dealt by ranges of their id, each range one file of about file_bytes of text, less where that
+    would leave shuffle partitions idle (but a megabyte). Only the list of files reaches the driver.
     """
     spark = docs.sparkSession
     docs = S.documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID)))
-    parts = S.partitions(spark)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // file_bytes), min(S.partitions(spark), -(-size // (1 << 20))))
     bounds = S.range_bounds(docs.select("doc_id"), ["doc_id"], parts)
+    narrow = id_type(path, end_id)
     cuts = np.array([b[0] for b in bounds], np.int64)
 
     placed = tokenized(docs, path, end_id, lambda doc, ids, at: np.searchsorted(cuts, doc, "right"), "int").select("doc_id", "n_tokens", "ids", F.col("key").alias("part"))
@@ -161,7 +166,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, level: int = 3,
         out, tokens, part = None, 0, 0
         for b in batches:
             data, off = S.byte_column(b, "ids")
-            values, at = data.view("<u2"), off // 2
+            values, at = data.view(narrow), off // narrow.itemsize
             for i, (doc, p) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 if out is None:
                     out, part = Writer(folder, f"part-{p:06d}.ids.zst", level, frame_bytes), p
@@ -173,7 +178,6 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, level: int = 3,
 
     dealt = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "ids")
     rows = sorted(dealt.mapInArrow(store, "part int, n_docs long, n_tokens long").collect())
-    S.release(spark)
     before = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).tolist()
     return [(f"{folder}/part-{p:06d}.ids.zst", n, t, int(before[i])) for i, (p, n, t) in enumerate(rows)]
 
