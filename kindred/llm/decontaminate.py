@@ -8,8 +8,9 @@ either side is marked, again and again, down to `tile` words; seeds give the pla
 the running hash is confirmed word by word. The share of the item's words under tiles is its coverage, whatever
 the order in which the document has them, so reordered passages are found.
 
-The benchmark is read in blocks of items whose words stay under `block_words`, one pass over the documents for
-each, so what is sent has a proven size whatever the benchmark's.
+The benchmark is read in blocks of items whose words stay under `block_words` (one item may be longer), one pass
+over the documents for each. A block is sent when its pass begins and destroyed after it, so one block, and the next
+one on the driver, is all that is held, whatever the benchmark's size.
 
 Rows: a null or empty text has no words and is clean; so is any against an item under `tile` words, which no
 tile can cover. Null document or item ids are kept as they are. Rows that repeat an id are each judged, and give
@@ -18,11 +19,13 @@ one result a pair: that of largest coverage, then of most tiles. Empty tables gi
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from kindred.llm import shared as S
 from kindred.llm import textkernel as K
 
 _RADIX = np.uint64(K.BASE)
+#: Pairs of places that are formed at once.
+PLACES = 1 << 20
 
 
 def word_names(batch: pa.RecordBatch, name: str, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,54 +62,98 @@ class Benchmark:
         self.tile = tile
         self.vocabulary = np.unique(np.concatenate([*items, np.empty(0, np.uint64)]))
         self.items = [np.searchsorted(self.vocabulary, x) for x in items]
+        self.sizes = np.array([len(x) for x in items], np.int64)
         seeds = [rolling(x, tile) for x in items]
         every = np.concatenate([*seeds, np.empty(0, np.uint64)])
-        owner = np.repeat(np.arange(len(items)), [len(x) for x in seeds])
-        place = np.concatenate([np.arange(len(x)) for x in seeds] + [np.empty(0, np.int64)])
-        order = np.argsort(every, kind="stable")
-        self.seeds, self.owner, self.place = every[order], owner[order], place[order]
-
-    def candidates(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each row with seeds: row, its seed places, and the range of the seed's occurrences in the items."""
+        self.seeds, number = np.unique(every, return_inverse=True)
+        self.item_seeds = np.split(number, np.cumsum([len(x) for x in seeds])[:-1])
+        order = np.argsort(number, kind="stable")
+        self.owner = np.repeat(np.arange(len(items)), [len(x) for x in seeds])[order]
+        self.place = np.concatenate([np.arange(len(x)) for x in seeds])[order]
+        self.begin = np.searchsorted(number[order], np.arange(len(self.seeds) + 1))
+
+    def candidates(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each row with seeds: row, its places of seeds, and the seeds' numbers."""
         h = rolling(words, self.tile)
-        lo = np.searchsorted(self.seeds, h, "left")
-        hit = np.flatnonzero((lo < len(self.seeds)) & (self.seeds[np.minimum(lo, len(self.seeds) - 1)] == h)) if len(self.seeds) else np.empty(0, np.int64)
+        number = np.searchsorted(self.seeds, h)
+        hit = np.flatnonzero(self.seeds[np.minimum(number, len(self.seeds) - 1)] == h) if len(self.seeds) else np.empty(0, np.int64)
         row = np.searchsorted(at, hit, "right") - 1
         inside = hit + self.tile <= at[row + 1]
         hit, row = hit[inside], row[inside]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]]) if len(row) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            p = hit[a:b]
-            yield int(row[a]), p - at[row[a]], lo[p], np.searchsorted(self.seeds, h[p], "right")
-
-
-def tiles(doc: np.ndarray, item: np.ndarray, pairs: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
+            yield int(row[a]), hit[a:b] - at[row[a]], number[hit[a:b]]
+
+    def reachable(self, numbers: np.ndarray, coverage: float) -> np.ndarray:
+        """Items of which these seeds, all their places together, cover enough. Each seed counts once, so this takes
+        no more than the block's own places, however often a document repeats them."""
+        numbers = np.unique(numbers)
+        n = self.begin[numbers + 1] - self.begin[numbers]
+        pick = np.repeat(self.begin[numbers] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        owner, place = self.owner[pick], self.place[pick]
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        reach = np.full(len(owner), self.tile, np.int64)
+        same = owner[1:] == owner[:-1]
+        reach[:-1][same] = np.minimum(np.diff(place)[same], self.tile)
+        covered = np.bincount(owner, reach, minlength=len(self.sizes))
+        return np.flatnonzero((covered > 0) & (covered >= coverage * self.sizes))
+
+
+def common_runs(doc_at: np.ndarray, doc_seed: np.ndarray, item_seed: np.ndarray) -> np.ndarray:
+    """Maximal runs of equal seeds along diagonals: rows (seeds in the run, place in the document, in the item).
+
+    Pairs of places are formed at once while they are few; a seed that both sides repeat very often is followed from
+    item place to item place instead, which holds one document's places at a time."""
+    order = np.argsort(doc_seed, kind="stable")
+    at, seed = doc_at[order], doc_seed[order]
+    lo, hi = np.searchsorted(seed, item_seed, "left"), np.searchsorted(seed, item_seed, "right")
+    n = hi - lo
+    if n.sum() <= PLACES:
+        d = at[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
+        i = np.repeat(np.arange(len(item_seed)), n)
+        order = np.lexsort((d, d - i))
+        d, i = d[order], i[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (np.diff(d) != 1) | (np.diff(i) != 1)
+        first = np.flatnonzero(new)
+        return np.stack([np.diff(np.concatenate([first, [len(d)]])), d[first], i[first]], 1)
+    done = []
+    last, length = np.empty(0, np.int64), np.empty(0, np.int64)
+    for i in range(len(item_seed) + 1):
+        now = np.sort(at[lo[i] : hi[i]]) if i < len(item_seed) else np.empty(0, np.int64)
+        k = np.minimum(np.searchsorted(last, now - 1), max(0, len(last) - 1))
+        goes_on = last[k] == now - 1 if len(last) else np.zeros(len(now), bool)
+        ended = np.ones(len(last), bool)
+        ended[k[goes_on]] = False
+        n = length[ended]
+        done.append(np.stack([n, last[ended] - n + 1, i - n], 1))
+        length = np.where(goes_on, length[k] + 1, 1) if len(last) else np.ones(len(now), np.int64)
+        last = now
+    return np.concatenate(done)
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, runs: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in the document, place in the item, words), longest first.
 
-    pairs are the places (document, item) of common seeds. Runs along a diagonal are found from the seeds on it;
-    the longest is marked, what is left of the others is cut, and so on.
-    """
+    runs are those of common seeds. The longest is marked, what is left of the others is cut, and so on."""
     free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
-    order = np.lexsort((pairs[:, 0], pairs[:, 0] - pairs[:, 1]))
-    pairs = pairs[order]
-    new = np.ones(len(pairs), bool)
-    new[1:] = (np.diff(pairs[:, 0]) != 1) | (np.diff(pairs[:, 1]) != 1)
-    first = np.flatnonzero(new)
-    runs = [(int(n) + tile - 1, int(d), int(i)) for n, (d, i) in zip(np.diff(np.concatenate([first, [len(pairs)]])), pairs[first], strict=True)]
-    runs = [r for r in runs if (doc[r[1] : r[1] + r[0]] == item[r[2] : r[2] + r[0]]).all()]  # the hash is confirmed
-    runs.sort(key=lambda r: (-r[0], r[2], r[1]))
+    whole = ((-n - tile + 1, i, d) for n, d, i in runs.tolist())
+    open_ = [r for r in whole if (doc[r[2] : r[2] - r[0]] == item[r[1] : r[1] - r[0]]).all()]  # the hash is confirmed
+    heapq.heapify(open_)
     done = []
-    while runs:
-        n, d, i = runs.pop(0)
+    while open_:
+        n, i, d = heapq.heappop(open_)
+        n = -n
         both = free_doc[d : d + n] & free_item[i : i + n]
         if both.all():
             free_doc[d : d + n] = free_item[i : i + n] = False
             done.append((d, i, n))
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], both.astype(np.int8), [0]])))
-        left = [(int(b - a), d + int(a), i + int(a)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= tile]
-        if left:
-            runs = sorted([*runs, *left], key=lambda r: (-r[0], r[2], r[1]))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= tile:
+                heapq.heappush(open_, (a - b, i + a, d + a))
     return done
 
 
@@ -131,46 +180,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = 5, coverage:
     source = S.documents(docs, doc_id, text)
     names = ["doc_id", "item_id", "item_words", "covered", "coverage", "n_tiles", "tiles"]
     schema = "doc_id long, item_id long, item_words long, covered long, coverage double, n_tiles long, tiles array<struct<doc_at: long, item_at: long, words: long>>"
-    out = None
-    for ids, block in _blocks(benchmark, item_id, text="text", tile=tile, block_words=block_words):
-        sent = docs.sparkSession.sparkContext.broadcast((ids, block))
+    tiled = pa.list_(pa.struct([("doc_at", pa.int64()), ("item_at", pa.int64()), ("words", pa.int64())]))
+    kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), tiled]
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    def against(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, block = sent.value
-            tiled = pa.list_(pa.struct([("doc_at", pa.int64()), ("item_at", pa.int64()), ("words", pa.int64())]))
             for b in batches:
                 _, off = S.byte_column(b, "text")
                 rows = []
                 for i, j in S.chunks(off, S.CHUNK):
                     words, at = word_names(b, "text", i, j)
-                    for row, place, lo, hi in block.candidates(words, at):
-                        n = hi - lo
-                        seed = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                        doc_at, owner, item_at = np.repeat(place, n), block.owner[seed], block.place[seed]
+                    for row, place, number in block.candidates(words, at):
+                        raw = words[at[row] : at[row + 1]]
                         doc = None
-                        for k in np.unique(owner):
-                            mine = owner == k
-                            item = block.items[k]
-                            reach = np.zeros(len(item) + 1, np.int64)
-                            starts = np.unique(item_at[mine])
-                            np.add.at(reach, starts, 1)
-                            np.add.at(reach, starts + tile, -1)
-                            if (np.cumsum(reach[:-1]) > 0).sum() < coverage * len(item):
-                                continue  # even all its seeds together cover too little
+                        for k in block.reachable(number, coverage).tolist():
                             if doc is None:
-                                raw = words[at[row] : at[row + 1]]
-                                number = np.searchsorted(block.vocabulary, raw)
-                                number[number == len(block.vocabulary)] = 0
-                                doc = np.where(block.vocabulary[number] == raw, number, -1)
-                            found = tiles(doc, item, np.stack([doc_at[mine], item_at[mine]], 1), tile)
+                                known = np.minimum(np.searchsorted(block.vocabulary, raw), len(block.vocabulary) - 1)
+                                doc = np.where(block.vocabulary[known] == raw, known, -1)
+                            item = block.items[k]
+                            found = tiles(doc, item, common_runs(place, number, block.item_seeds[k]), tile)
                             covered = sum(t[2] for t in found)
                             if covered >= coverage * len(item):
                                 rows.append((b.column("doc_id")[i + row].as_py(), ids[k], len(item), covered, covered / len(item), len(found), [dict(zip(("doc_at", "item_at", "words"), t, strict=True)) for t in sorted(found)]))
                 if rows:
-                    kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), tiled]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        part = source.mapInArrow(S.trimmed(run), schema)
+        return source.mapInArrow(S.trimmed(run), schema)
+
+    out = None
+    blocks = _blocks(benchmark, item_id, text="text", tile=tile, block_words=block_words)
+    block = next(blocks, None)
+    while block is not None:
+        sent, block = docs.sparkSession.sparkContext.broadcast(block), next(blocks, None)
+        part = against(sent)
+        if block is not None:  # one block after another: what was found is kept, what was sent goes
+            part = S.stage_table(part, "tiles")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
