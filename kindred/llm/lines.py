@@ -12,7 +12,8 @@ rewrite the documents. Beyond it, shards stay where they are and documents' line
 instead, each shard's arrays in front of its questions; only the hashes found come back to the documents.
 
 Rows: a null or empty text is one empty line. An empty key is never dropped. Each row counts as a document, also
-rows that repeat an id. A null id is an id of its own. An empty table gives no rows.
+rows that repeat an id. A null id is an id of its own. A column `_lines` that the table has already is replaced. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -204,39 +205,46 @@ class LineFilter:
         return run(text)
 
     def dealt(self, docs: DataFrame, text: str) -> DataFrame:
-        """docs with struct column `lines`, without shipping the arrays: line hashes are dealt to the shards."""
+        """docs with struct column `_lines`, without shipping the arrays: line hashes are dealt to the shards. A shard
+        has as many copies as it takes to fill the shuffle's partitions, each asked by its share of the texts."""
         shards, least = self.shards, self.min_docs
-        marked = docs.withColumn("_text_key", F.concat_ws("-", F.xxhash64(F.coalesce(docs[text], F.lit(""))), F.crc32(F.coalesce(docs[text], F.lit("")))))
+        copies = -(-S.partitions(docs.sparkSession) // shards)
+        own = next(n for n in (f"_text_key{i or ''}" for i in range(len(docs.columns) + 1)) if n.lower() not in {c.lower() for c in docs.columns})
+        plain = F.coalesce(docs[text].cast("string"), F.lit(""))
+        marked = docs.withColumn(own, F.unhex(F.md5(plain.cast("binary"))))
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 data, off = S.byte_column(b, "text")
-                for i in range(b.num_rows):
+                for i, key in enumerate(b.column("key").to_pylist()):
                     h = np.unique(line_hashes(data[off[i] : off[i + 1]].tobytes().split(b"\n")), axis=0)
                     h = h[(h != 0).any(1)]
+                    if not len(h):
+                        continue
                     which = _shard(h[:, 0], shards)
                     order = np.argsort(which, kind="stable")
-                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(which[order])) + 1, [len(h)]]) if len(h) else np.zeros(1, np.int64)
-                    if len(h):
-                        yield pa.record_batch([pa.array(which[order][cuts[:-1]].astype(np.int32)), pa.array([b.column("_text_key")[i].as_py()] * (len(cuts) - 1)), S.binary_array(h[order].ravel().view(np.uint8), cuts * 16)], names=["shard", "_text_key", "blob"])
+                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(which[order])) + 1, [len(h)]])
+                    where, copy = which[order][cuts[:-1]].astype(np.int32), int.from_bytes(key[:4], "little") % copies
+                    yield pa.record_batch([pa.array(where), pa.array(np.full(len(where), copy, np.int32)), pa.array([key] * len(where), pa.binary()), S.binary_array(h[order].ravel().view(np.uint8), cuts * 16)], names=["shard", "copy", "key", "blob"])
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arrays, at = None, None
             for b in batches:
-                for shard, key, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for shard, copy, key, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if key is None:
-                        arrays, at = Arrays.load(blob), shard
-                    elif at == shard:
+                        arrays, at = Arrays.load(blob), (shard, copy)
+                    elif at == (shard, copy):
                         h = np.frombuffer(blob, np.uint64).reshape(-1, 2)
                         hit = h[arrays.count(_key(h[:, 0], h[:, 1]), h[:, 1]) >= least]
                         if len(hit):
-                            yield pa.record_batch([pa.array([key]), pa.array([hit.tobytes()], pa.binary())], names=["_text_key", "found"])
+                            yield pa.record_batch([pa.array([key], pa.binary()), pa.array([hit.tobytes()], pa.binary())], names=["key", "found"])
 
-        texts = marked.select(F.col(text).cast("string").alias("text"), "_text_key").dropDuplicates(["_text_key"])
-        questions = texts.mapInArrow(ask, "shard int, _text_key string, blob binary")
-        stacked = self.table.select("shard", F.lit(None).cast("string").alias("_text_key"), F.col("arrays").alias("blob")).unionByName(questions)
-        dealt = stacked.repartition(S.partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", F.col("_text_key").asc_nulls_first())
-        hits = dealt.mapInArrow(answer, "_text_key string, found binary").groupBy("_text_key").agg(F.collect_list("found").alias("_found"))
+        texts = marked.select(plain.alias("text"), F.col(own).alias("key")).dropDuplicates(["key"])
+        questions = texts.mapInArrow(ask, "shard int, copy int, key binary, blob binary")
+        lent = self.table.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(None).cast("binary").alias("key"), F.col("arrays").alias("blob"))
+        stacked = lent.unionByName(questions).repartition(S.partitions(docs.sparkSession), "shard", "copy")
+        hits = stacked.sortWithinPartitions("shard", "copy", F.col("key").asc_nulls_first()).mapInArrow(answer, "key binary, found binary")
+        hits = hits.groupBy(F.col("key").alias(own)).agg(F.collect_list("found").alias("_lines"))  # a text's own lines
 
         @F.pandas_udf("n_lines long, n_dropped long, kept string")
         def rewrite(s: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -248,8 +256,7 @@ class LineFilter:
                 rows.append((len(lines), len(lines) - len(keep), b"\n".join(keep).decode()))
             return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
 
-        joined = marked.join(hits, "_text_key", "left")
-        return joined.withColumn("_lines", rewrite(F.col(text).cast("string"), "_found")).drop("_text_key", "_found")
+        return marked.drop("_lines").join(hits, own, "left").withColumn("_lines", rewrite(F.col(text).cast("string"), F.col("_lines"))).drop(own)
 
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", most_shipped: int = 64 << 20) -> DataFrame:
