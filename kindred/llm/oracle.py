@@ -22,7 +22,8 @@ def _url_filter() -> str:
     ]
     for i in range(ROUNDS):
         parts.append(f"r{i + 1} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, host, rank FROM r0 UNION ALL SELECT f.kind, f.b, {DAMPING} * r.rank / f.degree FROM flows f JOIN r{i} r ON f.kind = r.kind AND f.a = r.host) t GROUP BY kind, host)")
-    parts.append(f"bad AS (SELECT host FROM r{ROUNDS} GROUP BY host HAVING coalesce(sum(rank) FILTER (kind = 'distrust'), 0) > coalesce(sum(rank) FILTER (kind = 'trust'), 0))")
+    parts.append(f"share AS (SELECT kind, host, rank / sum(rank) OVER (PARTITION BY kind) AS rank FROM r{ROUNDS})")
+    parts.append("bad AS (SELECT host FROM share GROUP BY host HAVING round(coalesce(sum(rank) FILTER (kind = 'distrust'), 0), 12) > round(coalesce(sum(rank) FILTER (kind = 'trust'), 0), 12))")
     return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"
 
 

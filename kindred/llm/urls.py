@@ -4,9 +4,10 @@ A rule is `host/path`: it fits its host and all subdomains, for urls whose path
 that fit, the longest wins. Elsewhere the verdict is the host's. Hosts of which over half the pages are blocked by
 rules are blocked seeds; other hosts with an allowed page are trusted seeds. Edges run between hosts that link to
 each other (absolute and protocol-relative href targets; a link within a host is none). Trust is a personalised
-PageRank from the trusted seeds along the links; distrust is one from the blocked seeds against the links. A host
-is blocked if its distrust exceeds its trust, else allowed; without links there is nothing to propagate and hosts
-without seeds are allowed.
+PageRank from the trusted seeds along the links; distrust is one from the blocked seeds against the links. What
+hosts without links on lose would go back to the seeds, which only scales the ranks, so each kind is divided by its
+sum instead. A host is blocked if its distrust exceeds its trust, else allowed; without links there is nothing to
+propagate and hosts without seeds are allowed.
 
 Both ranks take a fixed number of rounds of one join and one pre-aggregated sum over the distinct host edges, for
 both directions at once; every few rounds the ranks are written to the shared folder.
@@ -57,8 +58,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, every: int = 5) -> DataFrame:
     """(host, kind, rank): for each kind of seed (host, kind, mass), rank = (1 - damping) * mass + damping * what
-    arrives. Kind 'trust' flows from src to dst, 'distrust' from dst to src. A host that links nowhere keeps
-    nothing back."""
+    arrives. Kind 'trust' flows from src to dst, 'distrust' from dst to src. Not normalised: hosts that link
+    nowhere pass nothing on."""
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b")))
     degree = both.groupBy("kind", "a").agg(F.count("*").alias("degree"))
     flows = S.stage_table(both.join(degree, ["kind", "a"]), "links")
@@ -83,9 +84,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str
     marked = hosts.where(F.col("host") != "").select("host", kind.alias("kind")).where(F.col("kind").isNotNull())
     sizes = marked.groupBy("kind").agg(F.count("*").alias("of"))
     seeds = S.stage_table(marked.join(F.broadcast(sizes), "kind").select("host", "kind", (1.0 / F.col("of")).alias("mass")), "links")
-    rank = seeds.select("kind", "host", ((1 - damping) * F.col("mass")).alias("rank")) if edges.isEmpty() else propagate(edges, seeds, rounds, damping)
+    edges_empty = edges.isEmpty()
+    rank = seeds.select("kind", "host", F.col("mass").alias("rank")) if edges_empty else propagate(edges, seeds, rounds, damping)
+    if not edges_empty:
+        rank = S.stage_table(rank, "links")
+    whole = rank.groupBy("kind").agg(F.sum("rank").alias("all"))
+    rank = rank.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
     total = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
-    bad = S.stage_table(total.where(F.col("distrust") > F.col("trust")).select(F.col("host").alias("bad_host")), "links")
+    bad = S.stage_table(total.where(F.round("distrust", 12) > F.round("trust", 12)).select(F.col("host").alias("bad_host")), "links")
     out = judged.drop("html").join(bad, F.col("host") == F.col("bad_host"), "left")
     by_host = F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"))
