@@ -1,39 +1,40 @@
 """Removing long repeated substrings: prefix doubling over the positions of all texts.
 
 A byte goes if it lies in a string of `length` bytes that also starts earlier (smaller document id, or the same
-document and an earlier start). The suffixes are never materialised; positions are ranked by names of growing
-prefixes, a name of 2L bytes being made of the names of L bytes at a position and L bytes further on, and a
-position leaves as soon as its name is unique or its rank past the threshold is known:
-
-1. Prefixes of 32 bytes. Of the 69 prefixes that start in a window of 100 bytes, the one of least mixed name
-   stands for it, so equal windows choose equal prefixes at equal distances. A run of windows with one such
-   prefix is an instance: about one for every 35 positions. Spark sorts (name, position) pairs of the instances
-   in buckets of the name. Unique names leave with all their windows. If all instances of a name are equal to
-   their last byte, all but the first are repeats and the name is done.
-2. Prefixes of 64 bytes. Every window of an instance holds one of the 64-byte strings that start 0, 36, 72 ...
-   bytes before the standing prefix, so an instance is cut into parts by the string its windows hold, and the
-   parts are ranked by its name in the same way. Chance repeats of a few words and half of each border leave.
-3. Prefixes of 100 bytes, the threshold, at every position of the parts left. Again (name, position) pairs are
-   sorted in buckets of the name; all but the first are repeats.
-
-Names are pairs of 64-bit values, 128 bits in all, so unequal strings practically never share one.
+document and an earlier start). Positions are ranked by growing prefixes: the rank of 2L bytes is that of the pair of
+ranks of L bytes at a position and L bytes further on. Ranks are names: 128 bits that equal prefixes share wherever
+they stand, made by the same pairing in every task, so a rank L bytes further on need not be joined to a position,
+which would move all positions of all texts in each round. Spark deals (name, position) pairs to buckets by the
+name, where they are sorted, and a position leaves as soon as its name is unique or past the threshold is known:
+
+1. Prefixes of 32 bytes, doubled from single bytes. Of the 69 prefixes that start in a window of 100 bytes, the one
+   of least mixed name stands for it, so equal windows choose equal prefixes at equal distances. A run of windows
+   with one such prefix is an instance: about one for every 35 positions. Unique names leave with all their windows.
+   If all instances of a name are equal to their last byte, all but the first are repeats and the name is done.
+2. Prefixes of 64 bytes: pairs of names at offset 32. Every window of an instance holds one of the 64-byte strings
+   that start 0, 36, 72 ... bytes before the standing prefix, so an instance is cut into parts by the string its
+   windows hold, and the parts are ranked by its name in the same way. Chance repeats of a few words and half of
+   each border leave.
+3. Prefixes of 100 bytes, the threshold: pairs of names of 64 bytes at offset 36, at every position of the parts
+   left. All but the first of a name are repeats.
 
 Hot names: equal instances of a batch become one row before the shuffle, and an instance whose name has two
 unequal instances in its batch needs no count from elsewhere, so it skips the bucket, leaving a marker. A bucket
 thus gets at most one row of a name from each batch (some ten thousand documents), however often it occurs.
 
 Memory: positions are handled a megabyte at a time, whatever a document's length; a bucket holds half
-a shuffle partition's share of the instances at most.
+a shuffle partition's share of the instances at most. What a round finds goes back to the texts by document id and
+checksum, so rows without an id are not one group.
 
 Rows: a null or empty text has no bytes and no spans; a null id counts as the smallest. Rows that share an id
-share its positions: a string does not start earlier in one than at the same start in the other. An empty table
-gives no rows.
+share its positions: a string does not start earlier in one than at the same start in the other. They are told apart
+by 16 bits of their checksum; of two such rows whose bits are equal, each loses what the other repeats as well. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,10 +75,18 @@ def _windows(at: np.ndarray) -> np.ndarray:
     return (at >> CHECK) & ((1 << WINDOWS) - 1)
 
 
-def _checks(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Tells apart rows of one id and different texts."""
-    raw = memoryview(np.ascontiguousarray(data))
-    return np.fromiter((zlib.crc32(raw[a:b]) & ((1 << CHECK) - 1) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.int64, len(off) - 1)
+def with_check(docs: DataFrame) -> DataFrame:
+    """A column that tells apart rows of one id and different texts."""
+    return docs.withColumn("check", F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % (1 << CHECK))
+
+
+def names(of: K.Prefixes, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the prefixes of this length at some positions: pairs of ranks half as long (and a little, where the
+    length is no power of two), down to GRAM bytes."""
+    if length == GRAM:
+        return K.mix(of.name(at, at + GRAM))
+    half = GRAM << ((length - 1) // GRAM).bit_length() - 1
+    return K.paired(names(of, at, half), names(of, at + length - half, half))
 
 
 def instances(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -260,8 +269,14 @@ def _listed(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(b.num_rows), counts)
 
 
+def in_rows(spans: DataFrame) -> DataFrame:
+    """(doc_id, check, ats): the packed spans of each row, in order."""
+    check = F.col("at").bitwiseAND(F.lit((1 << CHECK) - 1))
+    return spans.groupBy(F.col("doc").alias("doc_id"), check.alias("check")).agg(F.sort_array(F.collect_list("at")).alias("ats"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc, at): packed runs of windows that start earlier elsewhere."""
+    """(doc, at): packed runs of windows that start earlier elsewhere; docs: (doc_id, text, check)."""
     buckets = max(256, 2 * S.partitions(docs.sparkSession))
 
     step = length - 2 * GRAM
@@ -271,15 +286,13 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             data, off = S.byte_column(b, "text")
             name, whole, start, distance, count = instances(data, off, length)
             row = np.searchsorted(off, start, "right") - 1
-            doc = b.column("doc_id").to_numpy()[row]
-            yield from _first_round(name, whole, doc, _pack(start - off[row], distance, count, _checks(data, off)[row]), buckets)
+            doc, check = b.column("doc_id").to_numpy()[row], b.column("check").to_numpy()[row]
+            yield from _first_round(name, whole, doc, _pack(start - off[row], distance, count, check), buckets)
 
     def opened(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         """For stretches of the batch: bytes, where each row starts in them, and the open spans with their rows."""
         data, off = S.byte_column(b, "text")
         at, row = _listed(b, "ats")
-        ours = (at & ((1 << CHECK) - 1)) == _checks(data, off)[row]
-        at, row = at[ours], row[ours]
         for i, j in S.chunks(off, 1 << 21):
             lo, hi = np.searchsorted(row, [i, j])
             if lo < hi:
@@ -300,7 +313,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                 last = np.minimum(n[own] - 1, distance[own] - j * step)
                 begin, base = start[own] + first, off[row[own]]
                 held = base + start[own] + distance[own] - j * step
-                name = K.mix(K.Prefixes(seg, 0).name(held, held + 2 * GRAM))
+                name = names(K.Prefixes(seg, 0), held, 2 * GRAM)
                 shape = (held - base - begin) << 8 | (last - first)
                 whole = K.mix(K.Prefixes(seg, 1).name(base + begin, base + begin + last - first + length) + shape.astype(np.uint64))
                 found.append((name, whole, ids[row[own]], _pack(begin, np.zeros_like(begin), last - first + 1, at[own] & ((1 << CHECK) - 1))))
@@ -317,7 +330,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                 first = np.repeat(_start(at) - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
                 owner = np.repeat(row, n)
                 p = first + off[owner]
-                k1, k2 = (K.mix(K.Prefixes(seg, w).name(p, p + length)) for w in (0, 1))
+                k1, k2 = (names(K.Prefixes(seg, w), p, length) for w in (0, 1))
                 found.append((k1, k2, ids[owner], _pack(first, np.zeros_like(first), np.ones_like(first), np.repeat(at & ((1 << CHECK) - 1), n))))
             if not found:
                 continue
@@ -332,11 +345,12 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def sort_in_buckets(df: DataFrame, settle) -> DataFrame:  # noqa: ANN001
         dealt = S.pool_partitions(df, "bucket").sortWithinPartitions("bucket")
-        return S.stage_table(dealt.mapInArrow(lambda batches: _in_buckets(batches, settle), "kind byte, doc long, at long"), "ranks")
+        ranked = S.stage_table(dealt.mapInArrow(lambda batches: _in_buckets(batches, settle), "kind byte, doc long, at long"), "ranks")
+        S.release(docs.sparkSession)  # what the round dealt out
+        return ranked
 
     def with_open(spans: DataFrame) -> DataFrame:
-        listed = spans.where(F.col("kind") == OPEN).groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-        return docs.join(listed, docs["doc_id"] == listed["doc"]).select("doc_id", "text", "ats")
+        return docs.join(in_rows(spans.where(F.col("kind") == OPEN)), ["doc_id", "check"])
 
     packed = "bucket int, kind byte, blob binary"
     spans = sort_in_buckets(docs.mapInArrow(ranked, packed), _settle_first)
@@ -354,9 +368,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     if not GRAM < length < GRAM + (1 << WINDOWS):
         raise ValueError("length must be 33 to 287")
     source = S.documents(docs, doc_id, text)
-    source = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID)))
-    spans = repeated_spans(source, length).groupBy("doc").agg(F.collect_list("at").alias("ats"))
-    joined = source.join(spans, source["doc_id"] == spans["doc"], "left").select("doc_id", "text", "ats")
+    source = with_check(source.withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID))))
+    joined = source.join(in_rows(repeated_spans(source, length)), ["doc_id", "check"], "left").select("doc_id", "text", "ats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -365,8 +378,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
                 b = whole.slice(i, j - i)
                 data, off = S.byte_column(b, "text")
                 at, row = _listed(b, "ats")
-                ours = (at & ((1 << CHECK) - 1)) == _checks(data, off)[row]
-                at, row = at[ours], row[ours]
                 begin = off[row] + _start(at)
                 change = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + _windows(at) - 1 + length, minlength=len(data) + 1)
                 gone = np.cumsum(change[:-1]) > 0

@@ -53,6 +53,11 @@ class Prefixes:
         return (self.sums[end] - self.sums[start]) * self.up[start]
 
 
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of pairs of names."""
+    return mix(a * np.uint64(BASE) + b)
+
+
 def doubled(h: np.ndarray, have: int) -> np.ndarray:
     """Prefix doubling: names of 2L bytes at all positions, from the names of L bytes there and L bytes on."""
     n = len(h) - have
