@@ -9,6 +9,10 @@ over twenty at times; no cut of 64 bits into bands leaves small buckets at such
 * within a bucket fingerprints are compared bit-sliced with a radius of 25,
 * and what is left is decided exactly, on the whole sets.
 
+Buckets and radius may miss a link with the chances given. exact=True leaves nothing to chance: a text's buckets are
+then its least n - ceil(0.8 n) + 1 shingle hashes (of two linked texts' sets, these parts have one in common at
+least), and the radius is 64. It moves a fifth of all shingles instead of BANDS numbers a text.
+
 Large groups of copies must not become all their pairs. Texts of equal sets are one node. Then every node is first
 tested against leaders only: the members of its buckets that share most buckets with others (an original shares
 more of them than its copies do). Verified links make components. Only pairs of nodes that then still lie in
@@ -49,9 +53,9 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> list[np.ndarr
     return [np.unique(shingle_hashes(data[a:e].tobytes(), words)) for a, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, prefix_for: float | None = None) -> DataFrame:
     """(doc_id, d1, d2, n, fp, bands): the digest and size of the text's set, its SimHash, and its buckets' keys
-    (none for an empty set)."""
+    (none for an empty set): those of its bands, or the part of its least hashes that a similarity asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,20 +65,31 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(data, off[i : j + 1], words)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
-                full = sizes > 0
-                keys = np.zeros((len(sets), BANDS), np.uint64)
-                if full.any():
-                    least = np.stack([np.minimum.reduceat(flat * a, at[:-1][full]) for a in _ORDERS], 1)
-                    keys[full] = _band_keys(least)
+                keys, counts = _bands(flat, at, sizes) if prefix_for is None else _prefixes(sets, sizes, prefix_for)
                 digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                ends = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel().view(np.int64)))
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
                 yield pa.record_batch([ids.slice(i, j - i), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sizes), pa.array(majority(flat, at).view(np.int64)), bands], names=["doc_id", "d1", "d2", "n", "fp", "bands"])
 
     return docs.mapInArrow(S.trimmed(run), "doc_id long, d1 long, d2 long, n long, fp long, bands array<long>")
 
 
+def _bands(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all bands of each text that has shingles, and how many each text has."""
+    full = sizes > 0
+    if not full.any():
+        return np.empty(0, np.uint64), full * BANDS
+    least = np.stack([np.minimum.reduceat(flat * a, at[:-1][full]) for a in _ORDERS], 1)
+    return _band_keys(least).ravel(), full * BANDS
+
+
+def _prefixes(sets: list[np.ndarray], sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each ascending set the least hashes among which any set this similar has one, and how many they are."""
+    counts = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - _SLACK).astype(np.int64) + 1, 0)
+    return np.concatenate([x[:n] for x, n in zip(sets, counts.tolist(), strict=True)]), counts
+
+
 def _band_keys(least: np.ndarray) -> np.ndarray:
     """One key of each band's least hashes."""
     out = np.zeros((len(least), BANDS), np.uint64)
@@ -159,21 +174,23 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, block: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, block: int = 4096, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """(doc_id, component_id) of all documents that have an id, each id once: the smallest id that is reachable
     over links between texts whose sets of word shingles have a Jaccard of similarity or more. BANDS, ROWS and
-    RADIUS are laid out for 0.8 or more.
+    RADIUS are laid out for 0.8 or more; exact holds for any similarity.
 
     A text of fewer words is one shingle; null texts and those without words are equal. Rows without an id take no
     part; rows that repeat an id are in one component. An empty table gives no rows.
     """
     docs = S.documents(docs, doc_id, text).where(F.col("doc_id").isNotNull())
-    prints = S.stage_table(signatures(docs, words), "resemble")
+    radius = 64 if exact else radius
+    prints = S.stage_table(signatures(docs, words, similarity if exact else None), "resemble")
     nodes = S.stage_table(prints.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("shingles"), F.min("fp").alias("fp"), F.first("bands").alias("bands")).drop("d2"), "resemble")
     copies = prints.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     equal = prints.join(copies, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where(F.col("a") != F.col("b"))
 
     rows = nodes.select("node", "d1", "shingles", "fp", F.posexplode("bands").alias("t", "key"))
+    rows = rows.withColumn("t", F.lit(0)) if exact else rows
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     live = S.stage_table(rows.join(sizes, ["t", "key"]).select("t", "key", "n", "node", "d1", "shingles", "fp"), "resemble")
 
