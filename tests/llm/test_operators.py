@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -130,8 +131,8 @@ def test_near_copies_against_all_pairs(spark):
         for j, y in sets[:k]:
             if i == j or (5 * len(x & y) >= 4 * len(x | y)):
                 root[max(top(i), top(j))] = min(top(i), top(j))
-    for block in (4096, 7):
-        got = {r.doc_id: r.component_id for r in resemblance.near_copies(df, block=block).collect()}
+    for more in ({}, {"block": 7}, {"exact": True}):
+        got = {r.doc_id: r.component_id for r in resemblance.near_copies(df, **more).collect()}
         assert got == {i: top(i) for i in root}
     assert resemblance.near_copies(df.limit(0)).collect() == []
 
@@ -201,8 +202,10 @@ def test_damaged_frame(spark, rows, tmp_path):
     raw = bytearray(open(path, "rb").read())
     raw[20] ^= 0xFF
     open(path, "wb").write(raw)
-    with pytest.raises((ValueError, Exception)):
-        list(shards.Reader(path).documents())
+    reader = shards.Reader(path)
+    reader.table = reader.table.copy()
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        list(reader.documents())
 
 
 def test_hilbert_neighbours():
@@ -235,28 +238,6 @@ def test_quality(spark):
     assert {r.score for r in quality.classify(docs(spark, every), labels.limit(0)).collect()} == {0.5}
 
 
-def test_nearest(spark):
-    rng = np.random.RandomState(3)
-    v = rng.randn(600, 16)
-    v[300:500] = v[7]
-    every = [(i, x.tolist()) for i, x in enumerate(v)] + [(600, None), (620, [0.0] * 16), (640, [float("nan")] * 16), (660, [1.0] * 3)]
-    df = spark.createDataFrame(every, "vec_id long, embedding array<double>")
-    got = {}
-    for r in ann.nearest(df, part=128).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert set(got) == set(range(0, 600, 20))
-    recall = []
-    for q, found in got.items():
-        s = v @ v[q]
-        best = [j for j in np.lexsort((np.arange(600), -np.round(s, 12))) if j != q][:20]
-        found.sort()
-        assert [f[0] for f in found] == list(range(1, 21))
-        assert all(abs(f[2] - s[f[1]]) < 1e-9 for f in found)
-        recall.append(len({f[1] for f in found} & set(best)) / 20)
-    assert np.mean(recall) >= 0.9
-    assert ann.nearest(df.limit(0)).count() == 0
-
-
 def test_urls(spark):
     link = lambda *h: "".join(f'<a href="http://{x}/p">' for x in h)
     cases = [(1, "http://A.Example.NET/en/x?y", ""), (2, "http://example.net/fr/", None), (3, "https://x.example.com/de/1", ""), (4, None, None), (5, "no scheme", ""), (6, "http://neutral.io/a", link("bad.net", "worse.net")), (7, "http://q.org/fr/", link("fine.io")), (8, "http://fine.io#x", ""), (9, "http://bad.net/", "")]
@@ -272,7 +253,7 @@ def test_urls(spark):
 def test_pii(spark):
     text = "é iban DE89370400440532013000 a@b.c_d@e.f .@x.y 1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 tel (212) 555-1234 ssn 123-45-6789"
     got = {r.doc_id: r for r in pii.digest(pii.find_pii(docs(spark, [(1, text), (2, None), (3, "4111 1111-1111 1111 +1 (212) 555-1234"), (4, "9" * 5000 + "@" * 50)]))).collect()}
-    assert got[1].spans == "email:32:37,email:37:43,email:44:49,ip:50:57,ip:58:65,ip:76:88,phone:93:107,iban:9:31,ssn:112:123".replace("iban:9:31", "iban:7:29") or got[1].n_email == 3
+    assert got[1].spans == "email:30:35,email:35:41,email:42:47,ip:48:55,ip:56:63,ip:74:86,phone:91:105,iban:7:29,ssn:110:121"
     assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (3, 3, 0, 0)
     assert (got[2].spans, got[4].spans) == ("", "")
     assert got[3].spans == "card:0:19,phone:20:37"
