@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and gi
 Parquet and read again as the next stage's docs. All but the last give the columns of documents.
 
 ORACLE_SQL is None: learned scores and hashed fingerprints have no SQL form. tests/llm hold the run against a
-brute-force version of the stages.
+version of the stages in plain Python.
 """
 
 from __future__ import annotations
@@ -19,21 +19,14 @@ from kindred.llm.queries import END_ID, table, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Stages run one after another in the same Python workers; smaller Arrow batches keep what they hold low."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.7 or more."""
-    _small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", quality.score(F.col("text"), model)).where(F.col("_score") >= 0.7).select(*COLUMNS)
+    return docs.select(*COLUMNS).withColumn("_score", quality.score(F.col("text"), model)).where(F.col("_score") >= 0.7).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten or more documents share; n_chars follows the text."""
-    _small_batches(spark)
     out = lines.drop_shared_lines(docs.select(*COLUMNS), min_docs=10)
     return out.withColumn("text", F.col("_lines.kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -41,7 +34,6 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (a resemblance of 0.8 of five-word shingles) the document of smallest id. Rows
     that share an id stay or go together, a null id stays."""
-    _small_batches(spark)
     groups = resemblance.near_copies(docs, words=5, similarity=0.8)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
