@@ -17,8 +17,10 @@ Large groups of copies must not become all their pairs. Texts of equal sets are
 tested against leaders only: the members of its buckets that share most buckets with others (an original shares
 more of them than its copies do). Verified links make components. Only pairs of nodes that then still lie in
 different components are compared in whole buckets and tested, so that no link between components is lost. Of
-these, pairs go untested that cannot link by a bound: two sets share at most what either shares with any other, so
-copies that were edited too much to link (each has too many shingles of its own) do not meet all of each other.
+these, pairs go untested that cannot link by one of two bounds, so copies that were edited too much to link do not
+meet all of each other: two sets share at most what either shares with any other; and they differ at least by the
+differences of their sketches, which count the hashes that begin with each of some two patterns a shingle (edits fall
+on different patterns, so little of a difference cancels out).
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ _ORDERS = np.random.default_rng(20240317).integers(0, 2**63, BANDS * ROWS, np.in
 RADIUS = 25
 #: Nodes that are tested against one copy of a leader's set.
 FOLLOWERS = 1024
+#: Bits of a sketch's patterns at most.
+SKETCH_BITS = 14
 #: For bounds on counts in floating point.
 _SLACK = 1e-6
 #: Leaders that a node is tested against before whole buckets are compared.
@@ -144,25 +148,70 @@ def verified(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -
     return units.sortWithinPartitions("b", "copy", F.col("a").asc_nulls_first()).mapInArrow(S.trimmed(test), "a long, b long")
 
 
-def own_shingles(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, d1, own_shingles) of those nodes that have shingles which no other of the nodes has: their number."""
+def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, d1, shingles) of some nodes: their sets, in ascending order, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = S.byte_column(b, "text")
-            ids = b.column("doc_id").to_numpy()
             for i, j in S.chunks(off, S.CHUNK):
-                sets = shingle_sets(data, off[i : j + 1], words)
-                sizes = [len(x) for x in sets]
-                d1 = np.array([int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in sets], np.int64)
-                yield pa.record_batch([pa.array(np.repeat(ids[i:j], sizes)), pa.array(np.repeat(d1, sizes)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "d1", "h"])
+                raw = [x.tobytes() for x in shingle_sets(data, off[i : j + 1], words)]
+                d1 = [int.from_bytes(xxhash.xxh3_128_digest(x)[:8], "little", signed=True) for x in raw]
+                yield pa.record_batch([b.column("doc_id").slice(i, j - i), pa.array(d1, pa.int64()), pa.array(raw, pa.binary())], names=["node", "d1", "shingles"])
 
     ids = nodes.select(F.col("node").alias("id")).distinct()
-    each = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(S.trimmed(run), "node long, d1 long, h long")
+    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(S.trimmed(run), "node long, d1 long, shingles binary")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, d1, own_shingles) of those nodes that have shingles which no other of the nodes has: their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = S.byte_column(b, "shingles")
+            n = np.diff(off) // 8
+            yield pa.record_batch([pa.array(np.repeat(b.column("node").to_numpy(), n)), pa.array(np.repeat(b.column("d1").to_numpy(), n)), pa.array(data.view(np.int64))], names=["node", "d1", "h"])
+
+    each = sets.mapInArrow(S.trimmed(run), "node long, d1 long, h long")
     alone = each.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("d1").alias("d1")).where(F.col("n") == 1)
     return alone.groupBy("node", "d1").agg(F.count("*").alias("own_shingles"))
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(node, d1, sketch): how many of a set's hashes begin with each of 2**k patterns, a byte each, with some two
+    patterns a shingle; empty where a byte is not enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = S.byte_column(b, "shingles")
+            out = []
+            for x, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                h = data[x:e].view(np.uint64)
+                k = min(SKETCH_BITS, max(4, (2 * len(h)).bit_length()))
+                n = np.bincount((h >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+                out.append(n.astype(np.uint8).tobytes() if n.max() < 256 else b"")
+            yield pa.record_batch([b.column("node"), b.column("d1"), pa.array(out, pa.binary())], names=["node", "d1", "sketch"])
+
+    return sets.mapInArrow(S.trimmed(run), "node long, d1 long, sketch binary")
+
+
+def least_difference(sketch: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At least how many elements are in one of two sets and not in the other: the differences of their sketches'
+    counts, the longer one's neighbours added up."""
+    k = np.array([len(x).bit_length() - 1 for x in sketch])
+    common = np.minimum(k[a], k[b])
+    out = np.zeros(len(a), np.int64)
+    for bits in np.unique(common[common >= 0]).tolist():
+        here = np.flatnonzero(common == bits)
+        used, at = np.unique(np.concatenate([a[here], b[here]]), return_inverse=True)
+        counts = np.stack([np.frombuffer(sketch[r], np.uint8).reshape(1 << bits, -1).sum(1, dtype=np.int32) for r in used.tolist()])
+        step = max(1, (1 << 22) >> bits)
+        for i in range(0, len(here), step):
+            x, y = at[: len(here)][i : i + step], at[len(here) :][i : i + step]
+            out[here[i : i + step]] = np.abs(counts[x] - counts[y]).sum(1)
+    return out
+
+
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard of two ascending arrays without repeats; of two empty ones 1."""
     if len(a) > len(b):
@@ -208,22 +257,25 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     mixed = rooted.groupBy("t", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") != F.col("r1")).select("t", "key")
     rooted = S.stage_table(rooted.join(mixed, ["t", "key"]), "resemble")
     shared = F.col("shingles") - F.coalesce("own_shingles", F.lit(0))
-    able = rooted.join(own_shingles(docs, rooted.select("node", "d1").distinct(), words), ["node", "d1"], "left").withColumn("shared", shared).where(F.col("shared") >= similarity * F.col("shingles") - _SLACK)
-    able = S.stage_table(able.select("t", "key", "fp", "node", "root", "shingles", "shared"), "resemble")
+    sets = S.stage_table(node_sets(docs, rooted.select("node").distinct(), words), "resemble")
+    able = rooted.join(own_shingles(sets), ["node", "d1"], "left").withColumn("shared", shared).where(F.col("shared") >= similarity * F.col("shingles") - _SLACK)
+    able = S.stage_table(able.join(sketches(sets), ["node", "d1"]).select("t", "key", "fp", "node", "root", "shingles", "shared", "sketch"), "resemble")
     apart = able.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") != F.col("r1")).select("t", "key", "n")
-    work = in_blocks(able.join(apart, ["t", "key"]), "node", block).select(*UNIT, "side", "fp", "node", "root", "shingles", "shared")
+    work = in_blocks(able.join(apart, ["t", "key"]), "node", block).select(*UNIT, "side", "fp", "node", "root", "shingles", "shared", "sketch")
 
-    def compare(part: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
+    def compare(part: np.ndarray, unit: np.ndarray, sketch: list[bytes]) -> pa.RecordBatch:
         node, root, size, shared = part[6:10]
         out = [np.empty((2, 0), np.int64)]
         for a, b in meetings(unit, part[4], part[5].view(np.uint64), radius):
             least = similarity / (1 + similarity) * (size[a] + size[b]) - _SLACK  # shingles that a linked pair shares
             go = (root[a] != root[b]) & (np.minimum(shared[a], shared[b]) >= least) & (np.minimum(size[a], size[b]) >= least)
+            a, b, least = a[go], b[go], least[go]
+            go = size[a] + size[b] - least_difference(sketch, a, b) >= 2 * least
             out.append(np.stack([np.maximum(node[a[go]], node[b[go]]), np.minimum(node[a[go]], node[b[go]])]))
         pairs = np.unique(np.concatenate(out, 1), axis=1)
         return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    rest = by_unit(work, compare, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    rest = by_unit(work, compare, "a long, b long", blobs=True).distinct().join(first, ["a", "b"], "left_anti")
     more = verified(rest, docs, words, similarity)
     whole = components(links.unionByName(more).unionByName(equal))
     ids = prints.select("doc_id").distinct()

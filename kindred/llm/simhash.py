@@ -240,29 +240,32 @@ def in_blocks(rows: DataFrame, by: str, block: int) -> DataFrame:
     return rows.withColumn("p", F.explode(pairs)).select("*", "p.lo", "p.hi", "p.side").drop("p", "blocks", "own")
 
 
-def by_unit(work: DataFrame, compare: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """compare(columns, unit numbers) over whole units; all columns are integers, the first four are UNIT."""
+def by_unit(work: DataFrame, compare: Callable[..., pa.RecordBatch], schema: str, blobs: bool = False) -> DataFrame:
+    """compare(columns, unit numbers) over whole units; all columns are integers, the first four are UNIT. With blobs
+    the last column is of bytes, which compare gets as a third argument, a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held, bytes_ = np.empty((len(work_names), 0), np.int64), []
 
-        def flush(part: np.ndarray) -> pa.RecordBatch:
-            return compare(part, np.concatenate([[0], np.cumsum((part[:4, 1:] != part[:4, :-1]).any(0))]))
+        def flush(part: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
+            unit = np.concatenate([[0], np.cumsum((part[:4, 1:] != part[:4, :-1]).any(0))])
+            return compare(part, unit, raw) if blobs else compare(part, unit)
 
         for b in batches:
-            now = np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
-            if held:
-                now = np.concatenate([*held, now], 1)
-            if now.shape[1] == 0:
+            held = np.concatenate([held, np.stack([b.column(c).to_numpy().astype(np.int64) for c in work_names])], 1)
+            if blobs:
+                bytes_ += b.column(b.num_columns - 1).to_pylist()
+            if held.shape[1] == 0:
                 continue
-            last = np.flatnonzero((now[:4] != now[:4, -1:]).any(0))
+            last = np.flatnonzero((held[:4] != held[:4, -1:]).any(0))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last unit may go on in the next batch
             if cut:
-                yield flush(now[:, :cut])
-            held = [now[:, cut:]]
-        if held and held[0].shape[1]:
-            yield flush(held[0])
+                yield flush(held[:, :cut], bytes_[:cut])
+                held, bytes_ = held[:, cut:], bytes_[cut:]
+        if held.shape[1]:
+            yield flush(held, bytes_)
 
+    work_names = work.columns[:-1] if blobs else work.columns
     dealt = work.repartition(S.partitions(work.sparkSession), *UNIT).sortWithinPartitions(*UNIT)
     return dealt.mapInArrow(S.trimmed(run), schema)
 
