@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kindred.functions import lexicon as L
 
-ID_TAG = r"(?i)\(\s*id\s*[:#]?\s*\d+\s*\)"
-SITE = r"(?i)(?:https?://)?(?:www\.)?([a-z0-9-]+)\.(?:com|net|org|in|co\.in|co|fr|us|biz|info|io)\b"
-ALIAS = r"(?i)\b(?:fka|f/k/a|aka|a/k/a|dba|d/b/a|t/a|formerly|trading as)\b"
-
-
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """The mapped word, or the word itself."""
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return F.coalesce(F.element_at(table, key), key)
+    return F.when(key.isin(*mapping), F.element_at(table, key)).otherwise(key)
 
 
 def among(words: list[str], key: Column) -> Column:
@@ -60,42 +57,54 @@ def skeleton(tok: Column) -> Column:
     return squeeze(F.regexp_replace(tok, "(?<=.)[aeiouy]", ""))
 
 
-def name_views(raw: Column) -> dict[str, Column]:
-    """clean, core (without designators), skel, nospace and alt of a business name."""
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), ID_TAG, " ")
-    halves = F.split(text, r"\s\|\s", 2)
-    main, bar = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
-    sides = F.split(main, ALIAS, 2)
-    after = F.coalesce(F.get(sides, F.lit(1)), F.lit(""))
-    turned = ascii_fold(after) != ""
-    first = F.when(turned, after).otherwise(F.get(sides, F.lit(0)))
-    other = F.when(turned, F.get(sides, F.lit(0))).otherwise(bar)
-    site = lambda c: F.regexp_replace(c, SITE, " $1 ")
-    toks = F.transform(join_initials(F.transform(tokens(ascii_fold(site(first))), fix_ocr)), lambda t: lookup(L.NAME_FORMS, t))
-    clean = F.array_join(toks, " ")
-    kept = F.filter(toks, lambda t: ~among(L.LEGAL, t) & ~among(L.LEGAL_SKELETONS, skeleton(t)))
-    core_toks = F.when(F.size(kept) > 0, kept).otherwise(toks)
-    return {
-        "clean": clean,
-        "core": F.array_join(core_toks, " "),
-        "skel": F.array_join(F.transform(core_toks, skeleton), " "),
-        "nospace": F.array_join(core_toks, ""),
-        "alt": F.array_join(F.filter(tokens(ascii_fold(site(other))), lambda t: ~among(L.LEGAL, t)), " "),
-    }
-
-
-def address_views(raw: Column) -> dict[str, Column]:
-    """clean, postal, nums (distinct digit runs in the order of text) and landmarks of an address."""
-    toks = F.filter(F.transform(tokens(ascii_fold(raw)), lambda t: lookup(L.ADDRESS_FORMS, t)), lambda t: t != "")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once for the row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def name_views(raw: Column) -> Column:
+    """struct(clean, core, skel, nospace, alt) of a business name; core is without designators."""
+    site = lambda c: F.regexp_replace(c, L.SITE, " $1 ")
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), L.ID_TAG, " ")
+
+    def halved(halves: Column) -> Column:
+        bar = F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+        return let(F.split(F.get(halves, F.lit(0)), L.ALIAS, 2), lambda sides: turned(sides, bar))
+
+    def turned(sides: Column, bar: Column) -> Column:
+        before, after = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.lit(""))
+        named = F.when(F.size(sides) > 1, ascii_fold(after) != "").otherwise(F.lit(False))
+        both = F.when(named, F.struct(after.alias("first"), before.alias("other"))).otherwise(F.struct(before.alias("first"), bar.alias("other")))
+        return let(both, lambda x: let(words(x["first"]), lambda toks: let(core(toks), lambda c: views(toks, c, x["other"]))))
+
+    def words(first: Column) -> Column:
+        fixed = let(F.transform(tokens(ascii_fold(site(first))), fix_ocr), join_initials)
+        return F.transform(fixed, lambda t: lookup(L.NAME_FORMS, t))
+
+    def core(toks: Column) -> Column:
+        kept = F.filter(toks, lambda t: ~among(L.LEGAL, t) & ~among(L.LEGAL_SKELETONS, skeleton(t)))
+        return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(toks))
+
+    def views(toks: Column, core: Column, other: Column) -> Column:
+        alt = F.when(other == "", F.lit("")).otherwise(F.array_join(F.filter(tokens(ascii_fold(site(other))), lambda t: ~among(L.LEGAL, t)), " "))
+        return F.struct(F.array_join(toks, " ").alias("clean"), F.array_join(core, " ").alias("core"), F.array_join(F.transform(core, skeleton), " ").alias("skel"), F.array_join(core, "").alias("nospace"), alt.alias("alt"))
+
+    return let(F.split(text, r"\s\|\s", 2), halved)
+
+
+def address_views(raw: Column) -> Column:
+    """struct a(clean, postal, nums, landmarks) of an address: its words in short forms, postal codes, digit runs, and
+    the words after a landmark's word."""
     plain = F.coalesce(raw, F.lit(""))
-    postal = F.transform(F.regexp_extract_all(plain, F.lit(r"\b([0-9]{3}[ ]?[0-9]{3}|[0-9]{5})\b"), F.lit(1)), lambda p: F.replace(p, F.lit(" "), F.lit("")))
-    marks = F.flatten(F.transform(toks, lambda t, i: F.when(among(L.LANDMARKS, t), F.slice(toks, i + 2, F.lit(3))).otherwise(F.array().cast("array<string>"))))
-    return {
-        "clean": F.array_join(toks, " "),
-        "postal": F.array_join(F.array_sort(F.array_distinct(postal)), " "),
-        "nums": F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit("[0-9]+"), F.lit(0)))), " "),
-        "landmarks": F.array_join(F.array_sort(F.array_distinct(F.filter(marks, lambda t: ~among(L.LANDMARKS, t)))), " "),
-    }
+    distinct = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), " ")
+    postal = F.transform(F.regexp_extract_all(plain, F.lit(L.POSTAL), F.lit(1)), lambda p: F.regexp_replace(p, r"\s", ""))
+
+    def views(toks: Column) -> Column:
+        marks = F.flatten(F.transform(toks, lambda t, i: F.when(among(L.LANDMARKS, t), F.slice(toks, i + 2, F.lit(3))).otherwise(F.array().cast("array<string>"))))
+        return F.struct(F.array_join(toks, " ").alias("clean"), distinct(postal).alias("postal"), distinct(F.regexp_extract_all(plain, F.lit("[0-9]+"), F.lit(0))).alias("nums"), distinct(F.filter(marks, lambda t: ~among(L.LANDMARKS, t))).alias("landmarks"))
+
+    short = F.transform(tokens(ascii_fold(raw)), lambda t: lookup(L.ADDRESS_FORMS, t))
+    return let(F.filter(short, lambda t: t != ""), views).alias("a")
 
 
 def acronym(core: Column) -> Column:
@@ -149,3 +158,24 @@ def digit_deletions(number: Column) -> Column:
     cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(number, F.lit(1), i - 1), F.substring(number, i + 1, n)).cast("bigint"))
     own = F.array(number.cast("bigint"))
     return F.when(n >= 3, F.array_distinct(F.concat(own, cut))).otherwise(own)
+
+
+def one_digit_less(number: Column, least: int = 3) -> Column:
+    """A number, and from `least` digits on that number without any one digit; as text without leading zeros, so
+    however long."""
+    n = F.length(number)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.regexp_replace(F.concat(F.substring(number, F.lit(1), i - 1), F.substring(number, i + 1, n)), "^0+(?=.)", ""))
+    return F.when(n >= least, F.array_distinct(F.concat(F.array(number), cut))).otherwise(F.array(number))
+
+
+def skeleton_2(tok: Column, voiced: bool = False) -> Column:
+    """Consonants by sound for words of any origin: -tion and soft c and g first, a leading vowel as _, a plural's s
+    dropped; voiced: d, b and g as t, p and k."""
+    w = F.regexp_replace(F.regexp_replace(tok, "[^a-z]", ""), "[ts]ion", "sn")
+    w = F.regexp_replace(F.regexp_replace(F.replace(w, F.lit("tur"), F.lit("cur")), "c(?=[eiy])", "s"), "g(?=[eiy])", "j")
+    for a, b in L.SOUNDS_2:
+        w = F.replace(w, F.lit(a), F.lit(b))
+    if voiced:
+        w = F.translate(w, "dbg", "tpk")
+    w = squeeze(F.regexp_replace(F.regexp_replace(w, "^[aeiou]", "_"), "(?<=.)[aeiou]", ""))
+    return F.regexp_replace(w, "(?<=..)s$", "")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kindred.operators.vectors import nearest, top_k
+
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(country, term, df) over records (id, country, toks), each term once a record."""
@@ -50,15 +52,13 @@ def token_top_k(s1: DataFrame, pool: DataFrame, k: int, max_df: int) -> DataFram
     """(s1, pool, score, rank): the k most similar pool records by cosine over rare terms; ties to smaller ids."""
     s1, pool = searched(s1, pool)
     terms = rare_terms(pool, max_df)
-    a = idf_postings(s1, terms).select(F.col("id").alias("s1"), "country", "term", F.col("w").alias("wa"))
-    b = idf_postings(pool, terms).select(F.col("id").alias("pool"), "country", "term", F.col("w").alias("wb"))
-    scored = a.join(b, ["country", "term"]).groupBy("s1", "pool").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
-    return top_k(scored.withColumn("score", F.round("score", 9)), "s1", [F.desc("score"), F.asc("pool")], k)
+    return nearest(_vectors(s1, terms), _vectors(pool, terms), k, 0.0)
 
 
-def top_k(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group with their rank (Spark limits each group before the shuffle)."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
+def _vectors(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row a record that has a kept term: id, part (its country), terms with their weights."""
+    w = idf_postings(docs, terms)
+    return w.groupBy("id", F.col("country").alias("part")).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("terms"))
 
 
 def exact_nearest(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096) -> DataFrame:

@@ -78,7 +78,7 @@ GRID = "grid AS (SELECT round(0.01 * i, 2)::DOUBLE AS tau FROM range(5, 96) t(i)
 SWEEP = f"""{ONE}, {GRID}, g AS (SELECT s1, count(*) AS n_gold FROM p WHERE label = 1 GROUP BY s1),
 each AS (SELECT s.s1, country, tau, coalesce(n_gold, 0) AS n_gold, count(one.pool) AS n_pred, coalesce(sum(one.label), 0) AS tp FROM s CROSS JOIN grid LEFT JOIN g ON g.s1 = s.s1 LEFT JOIN one ON one.s1 = s.s1 AND one.prob >= tau GROUP BY s.s1, country, tau, n_gold)"""
 RATIO = lambda c, n: f"{n} AS (SELECT s1, pool, prob FROM (SELECT *, max({c}) OVER (PARTITION BY s1) AS best FROM p) t WHERE {c} >= 0.5 AND {c} >= 0.6 * best)"
-TWO = "base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY prob DESC, s1) AS rn FROM p WHERE prob >= 0.7) t WHERE rn = 1), cands AS (SELECT * FROM p WHERE prob >= 0.4), other AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY prob2 DESC, s1) AS rn FROM p WHERE prob2 >= 0.8) t WHERE rn = 1)"
+TWO = "base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY prob DESC, s1) AS rn FROM p WHERE prob >= 0.95) t WHERE rn = 1), cands AS (SELECT * FROM p WHERE prob >= 0.4), other AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY prob2 DESC, s1) AS rn FROM p WHERE prob2 >= 0.8) t WHERE rn = 1)"
 LOGIT = lambda c: f"ln(greatest(1e-6, least(1 - 1e-6, {c})) / (1 - greatest(1e-6, least(1 - 1e-6, {c}))))"
 SIG = lambda x: f"(1 / (1 + exp(-({x}))))"
 BLEND = SIG(f"({LOGIT('prob')} + {LOGIT('prob2')}) / 2")

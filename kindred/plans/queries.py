@@ -63,8 +63,7 @@ def q02_gold_pairs(s, d):  # noqa: ANN001, ANN201
 
 @query
 def q03_name_views(s, d):  # noqa: ANN001, ANN201
-    v = tx.name_views(F.col("name"))
-    return entities(s, d).select("id", *[c.alias(k) for k, c in v.items()])
+    return entities(s, d).select("id", tx.name_views(F.col("name")).alias("v")).select("id", "v.*")
 
 
 @query
@@ -81,8 +80,7 @@ def q05_token_forms(s, d):  # noqa: ANN001, ANN201
 
 @query
 def q06_address_views(s, d):  # noqa: ANN001, ANN201
-    v = tx.address_views(F.col("addr"))
-    return entities(s, d).select("id", *[c.alias(k) for k, c in v.items()])
+    return entities(s, d).select("id", tx.address_views(F.col("addr"))).select("id", "a.*")
 
 
 @query
@@ -290,7 +288,7 @@ def q35_logit_shift(s, d):  # noqa: ANN001, ANN201
 
 def _two_matchers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = pairs(s, d)
-    base = de.one_to_one(p.where("prob >= 0.7"))
+    base = de.one_to_one(p.where("prob >= 0.95"))
     return base, p.where("prob >= 0.4"), de.one_to_one(p.where("prob2 >= 0.8"), "prob2")
 
 
