@@ -67,3 +67,66 @@ def validate(lists: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
         one = df.select(F.lit(rule).alias("rule"), "what")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("rule").agg(F.count("*").alias("n"), F.min("what").alias("example"))
+
+
+def normalised(records: DataFrame) -> DataFrame:
+    """All views of raw records (id, name, address, country) side by side."""
+    from kindred.functions import text as tx
+
+    views = records.select("id", tx.name_views(F.col("name")).alias("n"), tx.address_views(F.col("address")), F.lower(F.trim("country")).alias("country_norm"))
+    alt = F.array_join(F.transform(F.filter(F.split("n.alt", " "), lambda t: t != ""), tx.skeleton), " ")
+    return views.select("id", F.col("n.clean").alias("name_clean"), F.col("n.core").alias("name_core"), F.col("n.skel").alias("name_skel"), F.col("n.nospace").alias("name_ns"), F.col("n.alt").alias("name_alt"), alt.alias("name_alt_skel"), F.col("a.clean").alias("addr_clean"), "a.postal", "a.nums", "a.landmarks", "country_norm")
+
+
+def read_cached(spark: SparkSession, parquet: str, tsv: str) -> DataFrame:
+    """The Parquet copy if it is there, else the tab-separated file; nulls and words for null become ''."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(parquet)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    df = spark.read.parquet(parquet) if there else read_tsv(spark, tsv)
+    clean = lambda c: F.coalesce(F.when(~F.col(c).cast("string").isin("<NA>", "nan", "None"), F.col(c).cast("string")), F.lit(""))
+    return df.select(*[clean(c).alias(c) for c in df.columns])
+
+
+def read_gzip_parts(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """Rows of tab-separated files with a header that were compressed whole and cut into name.gz.part00, part01 ..:
+    each file's parts stream through one decompressor, in order, in one task; files are read beside each other."""
+    import zlib
+
+    import pyarrow as pa
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz.part*").load(folder)
+    cut = files.select(F.regexp_extract("path", r"^(.*\.gz)\.part([0-9]+)$", 1).alias("file"), F.regexp_extract("path", r"\.part([0-9]+)$", 1).cast("int").alias("part"), "content")
+
+    def rows(batches):  # noqa: ANN001, ANN202
+        at, unzip, rest, header = None, None, b"", True
+        for b in batches:
+            for file, content in zip(b.column("file").to_pylist(), b.column("content").to_pylist(), strict=True):
+                if file != at:
+                    if rest:
+                        yield _rows([rest], columns, pa)
+                    at, unzip, rest, header = file, zlib.decompressobj(31), b"", True
+                *lines, rest = (rest + unzip.decompress(content)).split(b"\n")
+                if lines:
+                    yield _rows(lines[1:] if header else lines, columns, pa)
+                    header = False
+        if rest:
+            yield _rows([rest], columns, pa)
+
+    dealt = cut.repartition("file").sortWithinPartitions("file", "part").select("file", "content")
+    return dealt.mapInArrow(rows, ", ".join(f"{c} string" for c in columns))
+
+
+def _rows(lines: list[bytes], columns: list[str], pa):  # noqa: ANN001, ANN202
+    cells = [x.decode().rstrip("\r").split("\t") for x in lines]
+    return pa.record_batch([pa.array([c[i] if i < len(c) else "" for c in cells], pa.string()) for i in range(len(columns))], names=columns)
+
+
+def read_json_map(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of a JSON object of texts, numbers or lists, as text: dictionaries, vocabularies, fillers."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+
+
+def write_json_map(rows: DataFrame, path: str) -> None:
+    """A (key, value) table as a JSON object a part, in one file: only for tables of a resource's size."""
+    rows.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))).alias("value")).coalesce(1).write.text(path)
