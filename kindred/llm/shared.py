@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -78,11 +79,22 @@ def drop_table(df: DataFrame) -> None:
     _delete(spark._jvm, spark._jsc.hadoopConfiguration(), df.stage_path)  # type: ignore[attr-defined]
 
 
+def bucketed_table(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """df written once in buckets of its keys, so that any number of joins on them move the other side only."""
+    spark = df.sparkSession
+    path, name, n = new_folder(spark, label), f"kindred_{label}_{uuid.uuid4().hex}", partitions(spark)
+    dealt = df.repartition(n, *keys)
+    dealt.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs now, not when the driver next collects garbage: after
-    a shuffle of the size of the input."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Have Spark's cleaner drop the shuffle files of finished jobs now, not when the driver next collects garbage
+    (half an hour, by default): for use after a shuffle of the size of the input, not after every job."""
+    for _ in range(2):  # what the first round finds unreachable, the cleaner drops meanwhile
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,8 +23,8 @@ unequal instances in its batch needs no count from elsewhere, so it skips the bu
 thus gets at most one row of a name from each batch (some ten thousand documents), however often it occurs.
 
 Memory: positions are handled a megabyte at a time, whatever a document's length; a bucket holds half
-a shuffle partition's share of the instances at most. What a round finds goes back to the texts by document id and
-checksum, so rows without an id are not one group.
+a shuffle partition's share of the instances at most. The texts are dealt to buckets of document id and checksum once;
+what a round finds goes back to them, so they move once, and rows without an id are not one group.
 
 Rows: a null or empty text has no bytes and no spans; a null id counts as the smallest. Rows that share an id
 share its positions: a string does not start earlier in one than at the same start in the other. They are told apart
@@ -350,7 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         return ranked
 
     def with_open(spans: DataFrame) -> DataFrame:
-        return docs.join(in_rows(spans.where(F.col("kind") == OPEN)), ["doc_id", "check"])
+        return docs.join(in_rows(spans.where(F.col("kind") == OPEN)).hint("shuffle_hash"), ["doc_id", "check"])
 
     packed = "bucket int, kind byte, blob binary"
     spans = sort_in_buckets(docs.mapInArrow(ranked, packed), _settle_first)
@@ -368,8 +368,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     if not GRAM < length < GRAM + (1 << WINDOWS):
         raise ValueError("length must be 33 to 287")
     source = S.documents(docs, doc_id, text)
-    source = with_check(source.withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID))))
-    joined = source.join(in_rows(repeated_spans(source, length)), ["doc_id", "check"], "left").select("doc_id", "text", "ats")
+    source = S.bucketed_table(with_check(source.withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID)))), ["doc_id", "check"], "texts")
+    S.release(docs.sparkSession)
+    spans = in_rows(repeated_spans(source, length))
+    joined = source.join(spans.hint("shuffle_hash"), ["doc_id", "check"], "left").select("doc_id", "text", "ats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
