@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+from unicodedata import combining, normalize
+
 # Designators and filler words that a name's core leaves out.
 LEGAL = ["pvt", "private", "ltd", "limited", "llc", "llp", "lp", "inc", "incorporated", "corp", "corporation", "co", "company", "plc", "ltda", "gmbh", "opc", "pllc", "pc", "pa", "sarl", "sas", "sasu", "sa", "eurl", "snc", "sci", "scop", "cie", "the", "and", "of", "le", "la", "les", "de", "du", "des", "et", "l", "d", "ms", "m/s", "mrs", "sri", "shri"]
 
@@ -41,7 +44,9 @@ LEGAL_ONE = {"pvt": "private", "private": "private", "ltd": "limited", "limited"
 # States by their letters.
 US_STATES = {"alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "districtofcolumbia": "dc", "florida": "fl", "georgia": "ga", "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me", "maryland": "md", "massachusetts": "ma", "michigan": "mi", "minnesota": "mn", "mississippi": "ms", "missouri": "mo", "montana": "mt", "nebraska": "ne", "nevada": "nv", "newhampshire": "nh", "newjersey": "nj", "newmexico": "nm", "newyork": "ny", "northcarolina": "nc", "northdakota": "nd", "ohio": "oh", "oklahoma": "ok", "oregon": "or", "pennsylvania": "pa", "rhodeisland": "ri", "southcarolina": "sc", "southdakota": "sd", "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va", "washington": "wa", "westvirginia": "wv", "wisconsin": "wi", "wyoming": "wy"}
 
-ACCENTED, PLAIN = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+# Lower-case Latin letters with marks, and the letters that they are without: by Unicode's decomposition.
+_MARKED = [(c, d[0]) for c in map(chr, [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and (d := normalize("NFKD", c))[0] in ascii_lowercase and all(map(combining, d[1:])) and len(d) > 1]
+ACCENTED, PLAIN = "".join(c for c, _ in _MARKED), "".join(d for _, d in _MARKED)
 
 # Fixed values of the second normaliser: designators, honorifics, credentials and fillers that names drop.
 LEGAL_FORMS = ["llc", "inc", "incorporated", "corp", "corporation", "co", "company", "cos", "ltd", "limited", "pvt", "private", "llp", "lp", "lllp", "pc", "pllc", "plc", "pa", "psc", "gmbh", "ag", "sa", "sarl", "sas", "sasu", "eurl", "sci", "snc"]
@@ -119,3 +124,11 @@ EMPTY_PARTS = ["null", "na", "none", "nan"]
 #: Transliterated designators besides those known by their skeleton.
 LEGAL_SHORT, LEGAL_LETTERS, LEGAL_LONGEST = ["pra", "li", "pi", "el"], "aeilpbh", 12
 LEGAL_SOUNDS_2 = ["limited", "private", "pvt", "ltd", "llp"]
+
+# What is checked in names and addresses field by field.
+FIELD_CHECKS = {
+    "name_empty": ("name", r"^\s*$"), "addr_empty": ("addr", r"^\s*$"), "name_devanagari": ("name", r"[\x{0900}-\x{097F}]"), "name_other_indic": ("name", r"[\x{0980}-\x{0DFF}]"), "name_accents": ("name", r"[À-ÿ]"), "addr_indic": ("addr", r"[\x{0900}-\x{0DFF}]"),
+    "name_domain": ("name", r"(?i)\.(com|in|net|org|co|biz)\b|www\."), "name_dba": ("name", r"(?i)\b(dba|d/b/a|aka|t/a)\b"), "name_junk": ("name", r"#|\||--|\*|@|\$"), "name_legal_first": ("name", r"(?i)^\s*(llc|inc|ltd|pvt|private|limited|corp|co)\b"),
+    "name_legal_any": ("name", r"(?i)\b(llc|inc|ltd|pvt|private|limited|corp|corporation|company|co|llp|plc)\b"), "addr_zip5": ("addr", r"\b\d{5}(-\d{4})?\b"), "addr_pin6": ("addr", r"\b\d{6}\b|\b\d{3}\s\d{3}\b"), "addr_has_digit": ("addr", r"\d"),
+    "addr_landmark": ("addr", r"(?i)\b(near|nr|opp|opposite|behind|beside|next to|adj)\b"), "addr_po_box": ("addr", r"(?i)\bp\.?\s?o\.?\s?box\b"),
+}

@@ -64,13 +64,16 @@ def _vectors(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def exact_nearest(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(s1, pool, score, rank) by inner product within a country: (id, country, v array<double>).
 
-    Pool records are dealt into blocks of about `block` within their country and queries go to each; a task
-    multiplies matrices and gives k rows a query and block, so pairs are never emitted.
+    Pool records are dealt into blocks of about `block` within their country, queries into lots as large, and each
+    lot meets each block; a task multiplies matrices and gives k rows a query and block, so pairs are never emitted.
     """
     queries, pool = searched(queries, pool)
     size = pool.groupBy("country").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    parts = pool.join(F.broadcast(size), "country").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    size = size.join(queries.groupBy("country").agg(F.ceil(F.count("*") / block).cast("int").alias("lots")), "country")
+    parts = pool.join(F.broadcast(size), "country").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    parts = parts.withColumn("block", F.pmod(F.xxhash64("id"), "blocks") * F.col("lots") + F.col("lot"))
     asks = queries.join(F.broadcast(size), "country").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asks = asks.withColumn("block", F.col("block") * F.col("lots") + F.pmod(F.xxhash64("id"), "lots"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -191,3 +191,24 @@ def error_sample(gold: DataFrame, chosen: DataFrame, texts: DataFrame, n: int) -
     rows = reduce(DataFrame.unionByName, [sampled(d.select("s1", "pool", F.concat_ws("-", "s1", "pool").alias("_k")), "_k", n).select(F.lit(k).alias("kind"), "s1", "pool") for k, d in kinds.items()])
     side = lambda key: texts.select(F.col("id").alias(key), F.col("text").alias(f"{key}_text"))
     return rows.join(side("s1"), "s1", "left").join(side("pool"), "pool", "left").select("kind", "s1", "pool", "s1_text", "pool_text")
+
+
+def field_profile(records: DataFrame, checks: dict[str, tuple[str, str]], by: list[str]) -> DataFrame:
+    """Percentages of records whose field a check's pattern finds, names in capitals, and median numbers of words."""
+    share = lambda c: F.round(100 * F.avg(c.cast("double")), 1)
+    words = lambda c: F.percentile(F.size(F.filter(F.split(c, " "), lambda w: w != "")), 0.5)
+    upper = (F.col("name") == F.upper("name")) & F.col("name").rlike("[A-Za-z]")
+    return records.groupBy(*by).agg(F.count("*").alias("n"), *[share(F.col(c).rlike(p)).alias(k) for k, (c, p) in checks.items()], share(upper).alias("name_all_upper"), words("name").alias("name_words"), words("addr").alias("addr_words"))
+
+
+def matches_histogram(s1: DataFrame, gold: DataFrame) -> DataFrame:
+    """(matches, n): how many s1 records have so many matches."""
+    n = s1.select("s1").join(gold.groupBy("s1").agg(F.count("*").alias("n")), "s1", "left")
+    return n.groupBy(F.coalesce("n", F.lit(0)).alias("matches")).agg(F.count("*").alias("n"))
+
+
+def gold_facts(gold: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
+    """Of gold pairs: how many, pool records under several s1, and the share within one country; (s1 or pool, country)."""
+    owners = gold.groupBy("pool").agg(F.countDistinct("s1").alias("owners"))
+    rows = gold.join(owners, "pool").join(s1.select("s1", F.col("country").alias("_a")), "s1").join(pool.select("pool", F.col("country").alias("_b")), "pool")
+    return rows.agg(F.count("*").alias("pairs"), F.countDistinct(F.when(F.col("owners") > 1, F.col("pool"))).alias("shared_pool"), F.round(F.avg((F.col("_a") == F.col("_b")).cast("double")), 6).alias("same_country"))

@@ -19,7 +19,7 @@ from kindred.operators import pairs as pr
 from kindred.operators import partition as pt
 from kindred.operators import prepare as pp
 from kindred.operators import vectors as vc
-from kindred.plans.adapter import entities, pairs, part_records, plain_tokens, prepared, prepared_pairs, raw_records, s1_records, table
+from kindred.plans.adapter import entities, entity_gold, pairs, part_records, plain_tokens, prepared, prepared_pairs, raw_records, s1_records, table
 from kindred.sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,3 +381,22 @@ def q110_frame_views(s, d):  # noqa: ANN001, ANN201
 def q111_house_numbers(s, d):  # noqa: ANN001, ANN201
     """Numbers and what they are with any one digit less, without leading zeros."""
     return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(tx.one_digit_less((F.col("p_partkey") * 101).cast("string"), 2)), " ").alias("less"))
+
+
+@query
+def q112_field_profile(s, d):  # noqa: ANN001, ANN201
+    e = entities(s, d)
+    paired = entity_gold(s, d)
+    matched = paired.select(F.col("s1").alias("id")).unionByName(paired.select(F.col("pool").alias("id"))).distinct().withColumn("matched", F.lit(True))
+    return ex.field_profile(e.join(matched, "id", "left").na.fill(False, ["matched"]), L.FIELD_CHECKS, ["source", "country", "matched"])
+
+
+@query
+def q113_matches_histogram(s, d):  # noqa: ANN001, ANN201
+    return ex.matches_histogram(s1_records(s, d), _gold(s, d))
+
+
+@query
+def q114_gold_facts(s, d):  # noqa: ANN001, ANN201
+    part = table(s, d, "part").select(F.col("p_partkey").alias("pool"), F.concat((F.col("p_partkey") % 5 + 1).cast("string"), F.lit("-URGENT")).alias("country"))
+    return ex.gold_facts(_gold(s, d), s1_records(s, d), part)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kindred.functions import lexicon as L
-from kindred.plans.oracle import BLEND, ENT, F05, LOGIT, ONE, PART, PLAIN, RATIO, REC, S1, _in, _map, _ocr, _pairs, _per_s1, _skeleton, _toks
+from kindred.plans.oracle import BLEND, ENT, F05, GOLD_E, LOGIT, ONE, PART, PLAIN, RATIO, REC, S1, _in, _map, _ocr, _pairs, _per_s1, _skeleton, _toks
 from kindred.plans.oracle import OCRF as _glue
 
 EMPTY = "[]::VARCHAR[]"
@@ -144,3 +144,9 @@ ORACLE_SQL["q110_frame_views"] = f"""WITH {PREP}, fr AS ({_FRAME}), b AS (SELECT
 d AS (SELECT *, list_filter(toks, lambda t: t NOT IN {_in(L.LEGAL)} AND {_skeleton('t')} NOT IN {_in(L.LEGAL_SKELETONS)}) AS core, list_filter({_toks('bar')}, lambda t: t NOT IN {_in(L.LEGAL)}) AS alt FROM b)
 SELECT id, array_to_string(toks, ' ') AS name_clean, array_to_string(core, ' ') AS name_core, array_to_string(list_transform(core, lambda t: {_skeleton('t')}), ' ') AS name_skel, array_to_string(core, '') AS name_ns, array_to_string(alt, ' ') AS name_alt, array_to_string(list_transform(alt, lambda t: {_skeleton('t')}), ' ') AS name_alt_skel,
 array_to_string(aw, ' ') AS addr_clean, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(a, '\\b([0-9]{{3}}\\s?[0-9]{{3}}|[0-9]{{5}})\\b', 1), lambda x: regexp_replace(x, '\\s', '', 'g')))), ' ') AS postal, array_to_string(list_sort(list_distinct(regexp_extract_all(a, '[0-9]+'))), ' ') AS nums, '' AS landmarks, lower(trim(c)) AS country_norm FROM d"""
+# DuckDB's word borders know ASCII letters only, so other Latin letters are read as x but where they are looked for
+_CHECKS = ", ".join(f"round(100 * avg(regexp_matches({c if 'À' in p else f'regexp_replace({c}, {chr(39)}[À-ÿ]{chr(39)}, {chr(39)}x{chr(39)}, {chr(39)}g{chr(39)})'}, '{p}')::INT), 1) AS {k}" for k, (c, p) in L.FIELD_CHECKS.items())
+_WORDS = "quantile_cont(len(list_filter(string_split({}, ' '), lambda w: w <> '')), 0.5)"
+ORACLE_SQL["q112_field_profile"] = f"WITH {ENT}, {GOLD_E}, m AS (SELECT s1 AS id FROM gold UNION SELECT pool FROM gold), e AS (SELECT *, id IN (SELECT id FROM m) AS matched FROM ent) SELECT source, country, matched, count(*) AS n, {_CHECKS}, round(100 * avg((name = upper(name) AND regexp_matches(name, '[A-Za-z]'))::INT), 1) AS name_all_upper, {_WORDS.format('name')} AS name_words, {_WORDS.format('addr')} AS addr_words FROM e GROUP BY ALL"
+ORACLE_SQL["q113_matches_histogram"] = _pairs("SELECT matches, count(*) AS n FROM (SELECT s.s1, count(p.pool) AS matches FROM s LEFT JOIN p ON p.s1 = s.s1 AND label = 1 GROUP BY 1) t GROUP BY 1")
+ORACLE_SQL["q114_gold_facts"] = _pairs("SELECT count(*) AS pairs, (SELECT count(*) FROM (SELECT pool FROM p WHERE label = 1 GROUP BY pool HAVING count(DISTINCT s1) > 1) x) AS shared_pool, round(avg((country = (pool % 5 + 1) || '-URGENT')::INT), 6) AS same_country FROM p JOIN s USING (s1) WHERE label = 1")

@@ -50,18 +50,24 @@ def read_scores(spark: SparkSession, path: str, least: float = 0.001) -> DataFra
     return spark.read.parquet(path).where(F.col("prob") >= least)
 
 
-def validate(lists: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
-    """(rule, n, examples): broken rules of id lists (s1, ids) against the s1 ids and the ids that may be matched."""
+def validate(lists: DataFrame, s1: DataFrame, targets: DataFrame, candidates: DataFrame | None = None, prefixes: str | None = None) -> DataFrame:
+    """(rule, n, example): broken rules of id lists (s1, ids) against the s1 ids and the ids that may be matched, and,
+    if given, against candidates (s1, pool), of which matches are a part, and a pattern of how ids begin."""
     items = lists.select("s1", F.posexplode(F.split("ids", ",")).alias("at", "id")).where(F.col("id") != "")
     known = targets.select(F.col("pool").cast("string").alias("id"), F.lit(True).alias("known")).distinct()
+    pair = F.concat_ws(":", "s1", "id").alias("what")
     rules = {
         "duplicate_s1": lists.groupBy("s1").count().where("count > 1").select(F.col("s1").cast("string").alias("what")),
-        "duplicate_id": items.groupBy("s1", "id").count().where("count > 1").select(F.concat_ws(":", "s1", "id").alias("what")),
-        "self_match": items.where(F.col("s1").cast("string") == F.col("id")).select(F.concat_ws(":", "s1", "id").alias("what")),
-        "unknown_id": items.join(known, "id", "left_anti").select(F.concat_ws(":", "s1", "id").alias("what")),
+        "duplicate_id": items.groupBy("s1", "id").count().where("count > 1").select(pair),
+        "self_match": items.where(F.col("s1").cast("string") == F.col("id")).select(pair),
+        "unknown_id": items.join(known, "id", "left_anti").select(pair),
         "missing_s1": s1.join(lists, "s1", "left_anti").select(F.col("s1").cast("string").alias("what")),
         "extra_s1": lists.join(s1, "s1", "left_anti").select(F.col("s1").cast("string").alias("what")),
     }
+    if prefixes is not None:
+        rules["wrong_prefix"] = items.where(~F.col("id").rlike(f"^(?:{prefixes})")).select(pair)
+    if candidates is not None:
+        rules["not_candidate"] = items.join(candidates.select("s1", F.col("pool").cast("string").alias("id")), ["s1", "id"], "left_anti").select(pair)
     out = None
     for rule, df in rules.items():
         one = df.select(F.lit(rule).alias("rule"), "what")
@@ -69,6 +75,22 @@ def validate(lists: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     return out.groupBy("rule").agg(F.count("*").alias("n"), F.min("what").alias("example"))
 
 
+def validate_file(spark: SparkSession, path: str, columns: tuple[str, str], s1: DataFrame, targets: DataFrame, candidates: DataFrame | None = None, prefixes: str | None = None) -> DataFrame:
+    """(rule, n, example) of an id-list file: no header, one of other columns, commas for tabs, rows without a tab;
+    and, of the rows that can be read, validate()'s rules."""
+    lines = spark.read.text(path)
+    header = "\t".join(columns)
+    head = lines.where(F.lower(F.trim("value")) == header).select("value")
+    if head.isEmpty():
+        first = lines.limit(1).select(F.when(~F.contains("value", F.lit("\t")) & F.contains("value", F.lit(",")), "comma_separated").otherwise("wrong_header").alias("rule"), F.col("value").alias("example"))
+        found = first.select("rule", F.lit(1).cast("long").alias("n"), "example")
+        return found if not found.isEmpty() else spark.createDataFrame([("empty_file", 1, path)], "rule string, n long, example string")
+    rows = lines.where((F.lower(F.trim("value")) != header) & (F.trim("value") != ""))
+    broken = rows.where(~F.contains("value", F.lit("\t"))).groupBy(F.lit("malformed_row").alias("rule")).agg(F.count("*").alias("n"), F.min("value").alias("example"))
+    lists = rows.where(F.contains("value", F.lit("\t"))).select(F.split_part("value", F.lit("\t"), F.lit(1)).alias("s1"), F.trim(F.split_part("value", F.lit("\t"), F.lit(2))).alias("ids"))
+    return validate(lists, s1, targets, candidates, prefixes).unionByName(broken)
+
+
 def normalised(records: DataFrame) -> DataFrame:
     """All views of raw records (id, name, address, country) side by side."""
     from kindred.functions import text as tx

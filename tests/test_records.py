@@ -15,6 +15,7 @@ from kindred.functions import similarity as sim
 from kindred.functions import text as tx
 from kindred.operators import evaluate as ev
 from kindred.operators import explore as ex
+from kindred.operators import model
 from kindred.operators import pairs as pr
 from kindred.operators import prepare as pp
 from kindred.operators import vectors as vc
@@ -210,3 +211,52 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in first.collect()] == [("S1-1", '"q" x', "", "")]
     first.withColumn("country", F.lit("US")).write.parquet(str(tmp_path / "s.parquet"))
     assert src.read_cached(spark, str(tmp_path / "s.parquet"), str(tmp_path / "s.tsv")).first().country == "US"
+
+
+def test_id_list_files(spark, tmp_path):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "s1 string")
+    targets = spark.createDataFrame([("S2-1",), ("S3-1",)], "pool string")
+    cands = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S3-1")], "s1 string, pool string")
+    head = ("source1_entity_id", "matched_entity_ids")
+    lists = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "")], "s1 string, ids string").toDF(*head)
+    src.write_id_lists(lists, str(tmp_path / "good"))
+    assert src.validate_file(spark, str(tmp_path / "good"), head, ids("S1-1", "S1-2"), targets, cands, "S2-|S3-").collect() == []
+    bad = "\t".join(head) + "\nS1-1\tS2-1,S2-1,S1-1\nS1-1\tS2-9\nbroken\nS1-9\tS3-1\n"
+    (tmp_path / "bad.tsv").write_text(bad)
+    got = {r.rule: r.n for r in src.validate_file(spark, str(tmp_path / "bad.tsv"), head, ids("S1-1", "S1-2"), targets, cands, "S2-|S3-").collect()}
+    assert got == {"duplicate_s1": 1, "duplicate_id": 1, "self_match": 1, "unknown_id": 2, "missing_s1": 1, "extra_s1": 1, "wrong_prefix": 1, "not_candidate": 3, "malformed_row": 1}
+    for text, rule in (("a,b\nS1-1,S2-1\n", "comma_separated"), ("x\ty\n", "wrong_header"), ("", "empty_file")):
+        (tmp_path / f"{rule}.tsv").write_text(text)
+        assert [r.rule for r in src.validate_file(spark, str(tmp_path / f"{rule}.tsv"), head, ids("S1-1"), targets).collect()] == [rule]
+
+
+def test_score_parts(spark, tmp_path):
+    scores = spark.range(1000).select((F.col("id") % 100).alias("s1"), F.col("id").alias("pool"), (F.col("id") / 1000).alias("prob"))
+    src.write_score_parts(scores, str(tmp_path / "parts"), 300, 2)
+    back = src.read_scores(spark, str(tmp_path / "parts"), 0.5)
+    assert back.count() == 500 and "GreaterThanOrEqual(prob,0.5)" in back._jdf.queryExecution().executedPlan().toString()
+    files = [f.name for f in (tmp_path / "parts").glob("*.zstd.parquet")]
+    assert len(files) >= 4
+    quoted = tmp_path / "q.tsv"
+    quoted.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\n1\t"a\tb"\tx\tUS\n')
+    assert src.read_tsv(spark, str(quoted), quoted=True).first().business_name == "a\tb"
+
+
+def test_models(spark):
+    rng = random.Random(7)
+    rows = [(s, p, x := rng.random(), rng.random(), int(x + 0.2 * rng.random() > 0.6)) for s in range(120) for p in range(4)]
+    df = spark.createDataFrame(rows, "s1 long, pool long, a double, b double, label int").coalesce(1).cache()
+    out = model.stacker(df, ["a", "b"], "label", quarters=2, seeds=(1,), rounds=6, depth=2).collect()
+    assert len(out) == len(rows) and sum((r.prob > 0.5) == r.label for r in out) > 0.85 * len(rows)
+    oof, models = model.out_of_fold(df, ["a", "b"], "label", folds=2, rounds=3, depth=2)
+    assert model.mean_of(models, df, ["a", "b"]).where("prob between 0 and 1").count() == len(rows)
+    steps = model.calibrated(oof, "prob", "label").select("prob", "calibrated").orderBy("prob").collect()
+    assert all(x.calibrated <= y.calibrated + 1e-9 for x, y in zip(steps[:-1], steps[1:], strict=True))
+
+
+def test_small_forms(spark):
+    df = spark.createDataFrame([("harbor tool works", ["1", "2"], ["2"], ["9"], "harbor tools", "harbour")], "core string, a array<string>, b array<string>, c array<string>, x string, y string")
+    none = F.array().cast("array<string>")
+    r = df.select(tx.acronym(F.col("core")).alias("acronym"), tx.acronym(F.lit("one")).alias("none"), sim.conflict(F.col("a"), F.col("b")).alias("same"), sim.conflict(F.col("a"), F.col("c")).alias("other"), sim.conflict(F.col("a"), none).alias("open"), sim.partial_ratio(F.col("x"), F.col("y")).alias("partial"), tx.ascii_fold(F.lit("Łódź Žižkov Ấm")).alias("fold")).first()
+    assert (r.acronym, r.none, r.same, r.other, r.open, r.fold) == ("htw", "", 0, 1, -1, "odz zizkov am")  # a crossed letter is no letter with a mark
+    assert r.partial == sim.partial("harbor tools", "harbour")
