@@ -42,10 +42,12 @@ def searched(s1: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with s1 records of a country that has no pool row moved to a block of the whole pool, which exists
     only if there are any. A null country has no rows of its own."""
     here = pool.where("country is not null").select(F.col("country").alias("_here")).distinct()
-    known = s1.join(F.broadcast(here), F.col("country") == F.col("_here"), "left")
-    moved = known.withColumn("country", F.when(F.col("_here").isNull(), F.lit(WHOLE_POOL)).otherwise(F.col("country"))).drop("_here")
-    needed = moved.where(F.col("country") == WHOLE_POOL).select(F.lit(1).alias("_any")).limit(1)
-    return moved, pool.unionByName(pool.crossJoin(F.broadcast(needed)).drop("_any").withColumn("country", F.lit(WHOLE_POOL)))
+    asked = s1.select(F.col("country").alias("_asked")).distinct()
+    lost = [r[0] for r in asked.join(here, F.col("_asked") == F.col("_here"), "left_anti").collect()]  # countries
+    if not lost:
+        return s1, pool
+    away = F.col("country").isNull() | F.col("country").isin(*[c for c in lost if c is not None])
+    return s1.withColumn("country", F.when(away, F.lit(WHOLE_POOL)).otherwise(F.col("country"))), pool.unionByName(pool.withColumn("country", F.lit(WHOLE_POOL)))
 
 
 def token_top_k(s1: DataFrame, pool: DataFrame, k: int, max_df: int) -> DataFrame:
@@ -56,9 +58,10 @@ def token_top_k(s1: DataFrame, pool: DataFrame, k: int, max_df: int) -> DataFram
 
 
 def _vectors(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row a record that has a kept term: id, part (its country), terms with their weights."""
-    w = idf_postings(docs, terms)
-    return w.groupBy("id", F.col("country").alias("part")).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("terms"))
+    """One row a record that has a kept term: id, part (its country), terms with their weights, as idf_postings."""
+    rows = docs.select("id", "country", F.explode(F.array_distinct("toks")).alias("term")).join(terms, ["country", "term"])
+    each = rows.groupBy("id", F.col("country").alias("part")).agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"), (F.sqrt(F.sum(F.col("idf") * F.col("idf"))) + 1e-6).alias("norm"))
+    return each.select("id", "part", F.transform("t", lambda x: F.struct(x["term"].alias("term"), (x["idf"] / F.col("norm")).alias("w"))).alias("terms"))
 
 
 def exact_nearest(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096) -> DataFrame:
@@ -149,12 +152,16 @@ def expand(seeds: DataFrame, keys: DataFrame, candidates: DataFrame, cap: int, m
 
 
 def idf_overlap(pairs: DataFrame, toks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Pairs (s1, pool) with idf_jaccard, max_shared_idf, pool_only_idf; toks: (id, country, toks)."""
-    rows = toks.select("id", "country", F.explode(F.array_distinct("toks")).alias("term")).join(terms, ["country", "term"]).select("id", "term", "idf")
-    a = pairs.join(rows.withColumnRenamed("id", "s1"), "s1").select("s1", "pool", "term", "idf", F.lit(1).alias("side"))
-    b = pairs.join(rows.withColumnRenamed("id", "pool"), "pool").select("s1", "pool", "term", "idf", F.lit(2).alias("side"))
-    each = a.unionByName(b).groupBy("s1", "pool", "term").agg(F.max("idf").alias("idf"), F.sum("side").alias("sides"))
-    shared, total = F.sum(F.when(F.col("sides") == 3, F.col("idf")).otherwise(0.0)), F.sum("idf")
-    return each.groupBy("s1", "pool").agg((shared / total).alias("idf_jaccard"), F.max(F.when(F.col("sides") == 3, F.col("idf")).otherwise(0.0)).alias("max_shared_idf"), F.sum(F.when(F.col("sides") == 2, F.col("idf")).otherwise(0.0)).alias("pool_only_idf"))
-
-
+    """Pairs (s1, pool) with idf_jaccard, max_shared_idf, pool_only_idf; toks: (id, country, toks). A record's terms
+    are one row, each term with its weight in one text, so that a pair's common ones are found by hashing and no pair
+    is taken apart. Pairs without any kept term are left out."""
+    rows = toks.select("id", "country", F.explode(F.array_distinct("toks")).alias("term")).join(terms, ["country", "term"])
+    mine = rows.groupBy("id").agg(F.collect_list(F.concat_ws("\t", "term", F.col("idf").cast("string"))).alias("ts"), F.sum("idf").alias("all"))
+    side = lambda key, p: mine.select(F.col("id").alias(key), F.col("ts").alias(f"{p}_ts"), F.col("all").alias(f"{p}_all"))
+    both = pairs.join(side("s1", "a"), "s1", "left").join(side("pool", "b"), "pool", "left").na.fill(0.0, ["a_all", "b_all"])
+    none = F.array().cast("array<string>")
+    shared = F.transform(F.array_intersect(F.coalesce("a_ts", none), F.coalesce("b_ts", none)), lambda x: F.split_part(x, F.lit("\t"), F.lit(2)).cast("double"))
+    both = both.withColumn("shared", shared).withColumn("common", F.aggregate("shared", F.lit(0.0), lambda s, x: s + x))
+    total = F.col("a_all") + F.col("b_all") - F.col("common")
+    rest = F.when(F.size("shared") == F.size(F.coalesce("b_ts", none)), 0.0).otherwise(F.col("b_all") - F.col("common"))
+    return both.where(total > 0).select("s1", "pool", (F.col("common") / total).alias("idf_jaccard"), F.coalesce(F.array_max("shared"), F.lit(0.0)).alias("max_shared_idf"), rest.alias("pool_only_idf"))
