@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,10 +14,12 @@ def fold(key: Column, n: int) -> Column:
 
 
 def stratified(rows: DataFrame, stratum: list[str], order: Column, names: tuple[str, ...] = ("fit", "dev", "lockbox"), shares: tuple[float, ...] = (0.7, 0.85)) -> DataFrame:
-    """Adds split: each stratum is ordered and cut at rounded shares of its size."""
+    """Adds split: each stratum is ordered and cut at shares of its size, halves rounded up: in decimals, as 0.7 * 45
+    is less than 31.5 in doubles."""
     w = W.partitionBy(*stratum)
     place, size = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
-    split = F.when(place <= F.round(size * shares[0]), names[0]).when(place <= F.round(size * shares[1]), names[1]).otherwise(names[2])
+    first, second = (F.round(size.cast("decimal(19,0)") * F.lit(Decimal(str(x)))) for x in shares)
+    split = F.when(place <= first, names[0]).when(place <= second, names[1]).otherwise(names[2])
     return rows.withColumn("split", split)
 
 

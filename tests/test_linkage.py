@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kindred.functions import similarity as sim
 from kindred.functions import text as tx
-from kindred.operators import blocking, decide, evaluate
+from kindred.operators import blocking, decide, evaluate, partition
 from kindred.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -304,3 +304,12 @@ def test_bootstrap_of_a_thousand_rounds(spark):
         means.append(np.dot(weights, list(scores.values())) / sum(weights))
     got = evaluate.bootstrap(spark.createDataFrame(list(scores.items()), "s1 long, f05 double")).first()
     assert (got.low, got.high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-9)
+
+
+def test_shares_of_a_stratum_are_rounded_in_decimals(spark):
+    sizes = {"a": 45, "b": 30, "c": 85, "d": 90, "e": 1}
+    rows = spark.createDataFrame([(i, k) for k, n in sizes.items() for i in range(n)], "i long, k string")
+    got = Counter((r.k, r.split) for r in partition.stratified(rows, ["k"], F.col("i")).collect())
+    for k, n in sizes.items():
+        fit, dev = (7 * n + 5) // 10, (85 * n + 50) // 100
+        assert [got[k, x] for x in ("fit", "dev", "lockbox")] == [fit, dev - fit, n - dev]
