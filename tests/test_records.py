@@ -278,6 +278,14 @@ def test_terms_of_records_are_not_broadcast(spark, tmp_path):
     assert joins == {("SortMergeJoin", ", term"): 1, ("BroadcastHashJoin", ""): 2}  # broadcast: a row for each part
 
 
+def test_vectors_of_records_are_not_broadcast_to_find_the_nearest(spark, tmp_path):
+    spark.range(300).select(F.col("id"), (F.col("id") % 3).cast("string").alias("part"), F.array(F.concat(F.lit("t"), F.col("id") % 7)).alias("terms")).write.parquet(f"{tmp_path}/docs")
+    v = vc.tfidf(spark.read.parquet(f"{tmp_path}/docs"))
+    v = vc.both(v, v)
+    joins = re.findall(r"BroadcastHashJoin \[part#\d+(, \w+)?", plan(vc.nearest(v.where("id % 3 = 0"), v.where("id % 3 <> 0"), 5)))
+    assert joins and set(joins) == {""}
+
+
 def test_a_repeated_record_has_one_vector(spark):
     docs = spark.createDataFrame([(1, "a", ["x", "y"]), (1, "a", ["x", "y"]), (2, "a", ["x"]), (3, "a", []), (4, None, ["x"])], "id long, part string, terms array<string>")
     got = {r.id: [t.term for t in r.terms] for r in vc.tfidf(docs).collect()}
