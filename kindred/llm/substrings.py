@@ -52,6 +52,8 @@ GRAM = 32
 STRIDE = 1 << 19
 #: Low bits of a packed (name, place) that hold the place.
 _PLACE = np.uint64((1 << 24) - 1)
+#: Instances or positions of which a batch speaks, give or take a stretch of text.
+LOT = 1 << 20
 FRESH, OPEN, REPEAT = 0, 1, 2
 
 # A span packed in one number: start in the document, distance to the standing prefix and number of windows
@@ -91,7 +93,8 @@ def names(of: K.Prefixes, at: np.ndarray, length: int) -> np.ndarray:
 
 def instances(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one standing prefix: the prefix's name, the name of all the run's bytes, its first
-    window, the distance from there to the prefix, its number of windows. The places are in data."""
+    window, the distance from there to the prefix, its number of windows. The places are in data. Standing names are
+    the least of many, so they are mixed once more: else the first of 256 buckets would get a quarter of them."""
     firsts = np.maximum(off[:-1], 0)
     lasts = off[1:] - length + 1  # windows start in [firsts, lasts)
     has = lasts > firsts
@@ -130,7 +133,7 @@ def instances(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarra
         if not len(s):
             continue
         whole = K.mix(K.Prefixes(seg, 1).name(s, e + length - 1) + ((place[s] - s) << 8 | (e - s)).astype(np.uint64))
-        parts.append((name[place[s]], whole, s + base, place[s] - s, e - s))
+        parts.append((K.mix(name[place[s]]), whole, s + base, place[s] - s, e - s))
     if not parts:
         return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -193,6 +196,18 @@ def _first_round(name: np.ndarray, whole: np.ndarray, doc: np.ndarray, at: np.nd
         yield _blobs(FRESH, _bucket(rows[:, 0], buckets), rows)
 
 
+def _lots(parts: Iterator[tuple[np.ndarray, ...]], limit: int = LOT) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns put together to lots of some `limit` rows: Arrow's batches are small, and what a lot says is said once."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(x[0]) for x in held) >= limit:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _chained(tie: np.ndarray, repeat: np.ndarray) -> np.ndarray:
     """Rows at the very place of their group's first row: rows of one id and text. They are no repeats of it."""
     if not tie.any():
@@ -281,13 +296,17 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     step = length - 2 * GRAM
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
             data, off = S.byte_column(b, "text")
             name, whole, start, distance, count = instances(data, off, length)
             row = np.searchsorted(off, start, "right") - 1
             doc, check = b.column("doc_id").to_numpy()[row], b.column("check").to_numpy()[row]
-            yield from _first_round(name, whole, doc, _pack(start - off[row], distance, count, check), buckets)
+            yield name, whole, doc, _pack(start - off[row], distance, count, check)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(standing(batches)):
+            yield from _first_round(*lot, buckets)
 
     def opened(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         """For stretches of the batch: bytes, where each row starts in them, and the open spans with their rows."""
@@ -298,11 +317,10 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             if lo < hi:
                 yield data[off[i] : off[j]], off - off[i], at[lo:hi], row[lo:hi]
 
-    def reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         """Parts of open instances, by the name of 2 * GRAM bytes that all their windows hold."""
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            found = []
             for seg, off, at, row in opened(b):
                 start, distance, n = _start(at), _distance(at), _windows(at)
                 low, high = (distance - n + 1) // step, distance // step  # which strings the windows hold
@@ -316,25 +334,26 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                 name = names(K.Prefixes(seg, 0), held, 2 * GRAM)
                 shape = (held - base - begin) << 8 | (last - first)
                 whole = K.mix(K.Prefixes(seg, 1).name(base + begin, base + begin + last - first + length) + shape.astype(np.uint64))
-                found.append((name, whole, ids[row[own]], _pack(begin, np.zeros_like(begin), last - first + 1, at[own] & ((1 << CHECK) - 1))))
-            if found:
-                yield from _first_round(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)
+                yield name, whole, ids[row[own]], _pack(begin, np.zeros_like(begin), last - first + 1, at[own] & ((1 << CHECK) - 1))
 
-    def every_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(cut_up(batches)):
+            yield from _first_round(*lot, buckets)
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         """All windows of open parts, by their names of full length."""
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            found = []
             for seg, off, at, row in opened(b):
                 n = _windows(at)
                 first = np.repeat(_start(at) - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
                 owner = np.repeat(row, n)
                 p = first + off[owner]
                 k1, k2 = (names(K.Prefixes(seg, w), p, length) for w in (0, 1))
-                found.append((k1, k2, ids[owner], _pack(first, np.zeros_like(first), np.ones_like(first), np.repeat(at & ((1 << CHECK) - 1), n))))
-            if not found:
-                continue
-            k1, k2, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield k1, k2, ids[owner], _pack(first, np.zeros_like(first), np.ones_like(first), np.repeat(at & ((1 << CHECK) - 1), n))
+
+    def every_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k1, k2, doc, at in _lots(positions(batches)):
             order = np.lexsort((_start(at), doc, k2, k1))
             k1, k2, doc, at = k1[order], k2[order], doc[order], at[order]
             repeat = _same(k1, k2)
@@ -345,7 +364,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def sort_in_buckets(df: DataFrame, settle) -> DataFrame:  # noqa: ANN001
         dealt = S.pool_partitions(df, "bucket").sortWithinPartitions("bucket")
-        ranked = S.stage_table(dealt.mapInArrow(lambda batches: _in_buckets(batches, settle), "kind byte, doc long, at long"), "ranks")
+        ranked = S.stage_table(dealt.mapInArrow(S.trimmed(lambda batches: _in_buckets(batches, settle)), "kind byte, doc long, at long"), "ranks")
         S.release(docs.sparkSession)  # what the round dealt out
         return ranked
 
@@ -353,12 +372,12 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         return docs.join(in_rows(spans.where(F.col("kind") == OPEN)).hint("shuffle_hash"), ["doc_id", "check"])
 
     packed = "bucket int, kind byte, blob binary"
-    spans = sort_in_buckets(docs.mapInArrow(ranked, packed), _settle_first)
+    spans = sort_in_buckets(docs.mapInArrow(S.trimmed(ranked), packed), _settle_first)
     done = spans.where(F.col("kind") == REPEAT)
     if step > 0:
-        spans = sort_in_buckets(with_open(spans).mapInArrow(reranked, packed), _settle_first)
+        spans = sort_in_buckets(with_open(spans).mapInArrow(S.trimmed(reranked), packed), _settle_first)
         done = done.unionByName(spans.where(F.col("kind") == REPEAT))
-    last = sort_in_buckets(with_open(spans).mapInArrow(every_position, packed), _settle_last)
+    last = sort_in_buckets(with_open(spans).mapInArrow(S.trimmed(every_position), packed), _settle_last)
     return done.unionByName(last).select("doc", "at")
 
 
@@ -368,7 +387,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     if not GRAM < length < GRAM + (1 << WINDOWS):
         raise ValueError("length must be 33 to 287")
     source = S.documents(docs, doc_id, text)
-    source = S.bucketed_table(with_check(source.withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID)))), ["doc_id", "check"], "texts")
+    source = S.bucketed_table(with_check(source.withColumn("doc_id", F.coalesce("doc_id", F.lit(S.NULL_ID)))), ["doc_id", "check"], "texts", S.lean(docs.sparkSession))
     S.release(docs.sparkSession)
     spans = in_rows(repeated_spans(source, length))
     joined = source.join(spans.hint("shuffle_hash"), ["doc_id", "check"], "left").select("doc_id", "text", "ats")
@@ -376,7 +395,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             _, sizes = S.byte_column(whole, "text")
-            for i, j in S.chunks(sizes, 4 << 20):
+            for i, j in S.chunks(sizes, 1 << 20):
                 b = whole.slice(i, j - i)
                 data, off = S.byte_column(b, "text")
                 at, row = _listed(b, "ats")
@@ -404,4 +423,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>" + ", kept binary" * keep_bytes
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * keep_bytes]
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(S.trimmed(cut), schema)

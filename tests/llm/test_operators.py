@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -62,6 +63,25 @@ def test_substrings(spark, rows):
     assert substrings.remove_repeats(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_buckets_of_substrings_are_even():
+    data = np.random.default_rng(4).integers(97, 123, 1 << 20).astype(np.uint8)
+    name = substrings.instances(data, np.array([0, len(data)]), 100)[0]
+    shares = np.bincount(substrings._bucket(name, 256), minlength=256)
+    assert shares.max() < 2 * shares.mean() and len(np.unique(name)) > 0.9 * len(name)
+
+
+def test_substrings_are_read_in_small_batches(spark):
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, text = spark.conf.get(conf), "".join(chr(97 + i * i % 23) for i in range(4000))
+    source = S.documents(spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")))
+    lean = S.lean(spark)
+    table = S.bucketed_table(source, ["doc_id"], "texts", lean)
+    sizes = table.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert 0 < sizes.agg(F.max("n")).first()[0] < 3 << 20
+    assert spark.conf.get(conf) == before and lean.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert substrings.remove_repeats(source.limit(3)).sparkSession.conf.get(conf) != before
+
+
 def test_simhash(spark, rows):
     rng = random.Random(2)
     base = prose(rng, 200).split()
