@@ -312,7 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         """For stretches of the batch: bytes, where each row starts in them, and the open spans with their rows."""
         data, off = S.byte_column(b, "text")
         at, row = _listed(b, "ats")
-        for i, j in S.chunks(off, 1 << 21):
+        for i, j in S.chunks(off, 1 << 19):
             lo, hi = np.searchsorted(row, [i, j])
             if lo < hi:
                 yield data[off[i] : off[j]], off - off[i], at[lo:hi], row[lo:hi]
@@ -353,7 +353,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                 yield k1, k2, ids[owner], _pack(first, np.zeros_like(first), np.ones_like(first), np.repeat(at & ((1 << CHECK) - 1), n))
 
     def every_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k1, k2, doc, at in _lots(positions(batches)):
+        for k1, k2, doc, at in _lots(positions(batches), LOT // 2):
             order = np.lexsort((_start(at), doc, k2, k1))
             k1, k2, doc, at = k1[order], k2[order], doc[order], at[order]
             repeat = _same(k1, k2)
